@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mentia.operators.deliveries import SeenStore, surplus
 from mentia.operators.instants import normalize_instants
+from mentia.session import scratch
 from mentia.sources.tables import table
 
 #: (table, id, time of arrival) of the tables whose published_at is normalised.
@@ -27,3 +29,13 @@ def p1_status(spark: SparkSession, root: str) -> DataFrame:
         found = normalize_instants(table(spark, root, name), zones, arrival=arrival, key=key).select(F.lit(name).alias("record_table"), "interpretation", "status")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("record_table", "interpretation", "status").agg(F.count("*").alias("n"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """record_table, message_id of the surplus deliveries of crawl jobs and alerts."""
+    batch = None
+    for name, ident in (("crawl_jobs", "job_id"), ("alert_messages", "alert_id")):
+        rows = table(spark, root, name).select(F.lit(name).alias("name"), F.col(ident).alias("ident"), "received_at", "message_id")
+        batch = rows if batch is None else batch.unionByName(rows)
+    store = SeenStore(spark, scratch(spark, "seen"))
+    return surplus(batch, store).select(F.col("name").alias("record_table"), "message_id")

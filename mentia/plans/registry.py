@@ -10,7 +10,7 @@ from mentia.plans import general
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": general.p1_found, "p1_status": general.p1_status}
+    return {"p1_found": general.p1_found, "p1_status": general.p1_status, "p6_found": general.p6_found}
 
 
 def oracle_sql() -> dict[str, str]:

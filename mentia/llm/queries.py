@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mentia.llm import encode, site_lines
+from mentia.llm import encode, site_lines, style_tree
 from mentia.sources.tables import table
 
 
+def _page_documents(spark: SparkSession, root: str) -> DataFrame:
+    raw = style_tree.documents_of(table(spark, root, "raw_content"), "raw_content", "raw_id", "url", "body")
+    return raw.unionByName(style_tree.documents_of(table(spark, root, "normalized_content"), "normalized_content", "norm_id", "canonical_url", "text", "title"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """record_table, record_id of the pages and texts with residue in place of content."""
+    return style_tree.extract(_page_documents(spark, root)).filter("residue").select("record_table", "record_id")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """record_table, record_id, line_no of the lines of the articles themselves."""
+    found = style_tree.extract(_page_documents(spark, root)).filter("not residue")
+    return found.select("record_table", "record_id", F.explode(F.col("lines").cast("array<bigint>")).alias("line_no"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """norm_id, line_no of the lines that a site repeats."""
     return site_lines.repeated_lines(table(spark, root, "normalized_content"))
@@ -21,11 +37,11 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": P4_SQL}
 
 
 P4_SQL = r"""

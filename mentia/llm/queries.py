@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mentia.llm import encode, site_lines, style_tree
+from mentia.llm import encode, language, site_lines, style_tree
+from mentia.session import cut
 from mentia.sources.tables import table
 
 
@@ -31,13 +32,28 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, root, "normalized_content"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """record_table, record_id, line_no, lang_code of missing or wrong labels (line 0) and of foreign lines."""
+    texts = table(spark, root, "normalized_content")
+    pages = style_tree.documents_of(texts, "normalized_content", "norm_id", "canonical_url", "text", "title")
+    judged = cut(language.foreign_and_main(pages, table(spark, root, "documents")).filter("main is not null").select("record_id", "main", "foreign"))
+    out = None
+    for name, key in (("normalized_content", "norm_id"), ("classifications", "class_id")):
+        tagged = table(spark, root, name).select(F.col(key).alias("id"), "norm_id", "language_tag") if key != "norm_id" else texts.select(F.col("norm_id").alias("id"), "norm_id", "language_tag")
+        wrong = language.wrong_tags(tagged.join(judged.select(F.col("record_id").alias("norm_id"), "main"), "norm_id"), "language_tag", "main")
+        rows = wrong.select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), F.lit(0).cast("bigint").alias("line_no"), F.col("main").alias("lang_code"))
+        out = rows if out is None else out.unionByName(rows)
+    foreign = judged.select("record_id", F.explode("foreign").alias("f")).select(F.lit("normalized_content").alias("record_table"), "record_id", F.col("f.line_no").cast("bigint").alias("line_no"), F.col("f.lang_code").alias("lang_code"))
+    return out.unionByName(foreign)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return encode.encode_corpus(table(spark, root, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mentia.llm import pages as P
 from mentia.llm.residue import in_place_of_content, is_residue
@@ -204,7 +206,9 @@ def extract(docs: DataFrame, each=None, extra: str = "") -> DataFrame:
     nodes = cut(unimportant_nodes(docs))
     copies = 8 * (nodes.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= COPY_BYTES
     shared = spark.sparkContext.broadcast({r.site: np.array(r.nodes, np.int64) for r in nodes.toLocalIterator()}) if copies else None
-    names = [f.split()[0] for f in extra.split(",")] if extra else []
+    ddl = "record_table string, record_id bigint, residue boolean, lines array<int>" + (f", {extra}" if extra else "")
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    names = schema.names[4:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, set[int]] = {}
@@ -227,13 +231,8 @@ def extract(docs: DataFrame, each=None, extra: str = "") -> DataFrame:
                 values = each(numbers, texts) if each and not bad else [None] * len(names)
                 for name, value in zip(names, values):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pandas(__import__("pandas").DataFrame({"record_table": rows["record_table"], "record_id": rows["record_id"], **out}), schema=schema, preserve_index=False)
+            yield pa.RecordBatch.from_pydict({"record_table": rows["record_table"], "record_id": rows["record_id"], **out}, schema=schema)
 
-    ddl = "record_table string, record_id bigint, residue boolean, lines array<int>" + (f", {extra}" if extra else "")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
     if not copies:
         every = nodes.filter(F.col("site") == EVERYWHERE).select(F.col("nodes").alias("every"))
         docs = docs.join(nodes.filter(F.col("site") != EVERYWHERE).withColumnRenamed("nodes", "own"), "site", "left").crossJoin(F.broadcast(every))

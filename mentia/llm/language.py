@@ -23,6 +23,8 @@ BUCKETS, DIM = 1 << 16, 16
 #: Most labelled documents that the model is fitted on, taken by the hash of their id.
 SAMPLE_DOCUMENTS = 2000
 EPOCHS, RATE, BATCH = 4, 0.25, 64
+#: Words of an average training piece, and the bounds of a text's evidence in pieces.
+PIECE_WORDS, EVIDENCE = 8, (0.5, 8.0)
 #: Share of wrong pieces among the accepted ones that the rejection aims at.
 ACCEPTED_ERROR = 0.01
 #: A line is foreign where its language is this many times as likely as the document's: few lines are.
@@ -92,9 +94,10 @@ class LanguageModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities, a row a text; even where a text has no words."""
         sums, counts = np.zeros((len(texts), len(LANGUAGES))), np.zeros(len(texts))
-        rows, owner = [], []
+        rows, owner, lengths = [], [], np.zeros(len(texts))
         for i, text in enumerate(texts):
             found = spoken(text, self.vocabulary)
+            lengths[i] = len(found)
             owner += [i] * len(found)
             for word in found:
                 row = self.known.get(word)
@@ -110,7 +113,9 @@ class LanguageModel:
             for c in range(len(LANGUAGES)):
                 sums[:, c] = np.bincount(owner, data[:, c], len(texts))
             counts = np.bincount(owner, data[:, -1], len(texts))
-        logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
+        # the temperature is that of a training piece; evidence adds up over the pieces of a longer text
+        evidence = np.clip(lengths / PIECE_WORDS, *EVIDENCE)[:, None]
+        logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature * evidence
         logits[counts == 0] = 0
         e = np.exp(logits - logits.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
@@ -224,7 +229,7 @@ def _groups(numbers: list[int], texts: list[str]) -> list[list[int]]:
 
 
 def languages_of(model: LanguageModel, numbers: list[int], texts: list[str]) -> tuple[str | None, float, list[dict]]:
-    """(main language, its share of the accepted text, [{line_no, lang_code, confidence}] of the other lines)."""
+    """(main language, its share of the text, [{line_no, lang_code, confidence}] of the other lines)."""
     if not texts:
         return None, 0.0, []
     groups = _groups(numbers, texts)
@@ -233,7 +238,7 @@ def languages_of(model: LanguageModel, numbers: list[int], texts: list[str]) ->
     best, top = p.argmax(1), p.max(1)
     sizes = np.array([len(t) for t in joined], float)
     sure = top >= model.accept
-    weights = np.bincount(best, sizes * (sure if sure.any() else 1), len(LANGUAGES))
+    weights = (p * sizes[:, None]).sum(0)
     main = int(weights.argmax())
     foreign = [
         {"line_no": numbers[i], "lang_code": LANGUAGES[best[k]], "confidence": float(top[k])}

@@ -207,7 +207,11 @@ def calibrate(model: LanguageModel, held: list[tuple[np.ndarray, int]]) -> Langu
 
 def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", limit: int = SAMPLE_DOCUMENTS) -> LanguageModel:
     """The model of at most ``limit`` labelled documents; the sample is the same in every run."""
-    rows = documents.filter(F.col(label).isNotNull() & (F.length(text) >= 40)).select(F.substring(text, 1, 4000).alias("text"), F.col(label).alias("label"), F.xxhash64(key).alias("at")).orderBy("at", "text").limit(limit).collect()
+    usable = documents.filter(F.col(label).isNotNull() & (F.length(text) >= 40)).withColumn("__at", F.xxhash64(key))
+    # the sample is chosen by its hashes alone, so that no more than its texts travel to the driver
+    chosen = usable.select("__at").orderBy("__at").limit(limit).agg(F.max("__at")).first()[0]
+    rows = usable.filter(F.col("__at") <= F.lit(chosen)).select(F.col(text).alias("text"), F.col(label).alias("label")).collect() if chosen is not None else []
+    rows.sort(key=lambda r: (r["text"], r["label"]))
     pairs = [(r["text"], tag_code(r["label"])) for r in rows]
     first = train([(t, c) for t, c in pairs if c])
     # labels are wrong here and there: what the first model contradicts with confidence is left out

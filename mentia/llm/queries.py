@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mentia.llm import encode, language, site_lines, style_tree
+from mentia.llm import encode, history, language, site_lines, style_tree
 from mentia.session import cut
 from mentia.sources.tables import table
 
@@ -47,13 +47,18 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return out.unionByName(foreign)
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """accepted_id, cand_id of the candidates that repeat something accepted."""
+    return history.repeats(table(spark, root, "ai_candidates"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return encode.encode_corpus(table(spark, root, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mentia.llm import encode, history, language, site_lines, style_tree
+from mentia.llm import encode, history, language, mixing, reading, site_lines, style_tree
 from mentia.session import cut
 from mentia.sources.tables import table
 
@@ -57,8 +57,23 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode_corpus(table(spark, root, "documents"))
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of documents in every slot of every mix."""
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of each source of each mix."""
+    return mixing.shares(p9_mix(spark, root), table(spark, root, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, band of every document with at least ten letters."""
+    return reading.reading_bands(table(spark, root, "documents"), table(spark, root, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

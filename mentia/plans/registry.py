@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentia.plans import general
+from mentia.plans import general, reference
+
+flagship = reference.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": general.p1_found, "p1_status": general.p1_status, "p6_found": general.p6_found}
+    return {"p1_found": general.p1_found, "p1_status": general.p1_status, "p6_found": general.p6_found, **reference.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": general.P6_SQL, **reference.SQL}

@@ -23,7 +23,7 @@ from mentia.session import cut
 
 RADIUS = 0.4
 #: Bands and rows of the signature, and the bands that a pair must share.
-BANDS, ROWS, SHARED = 48, 3, 3
+BANDS, ROWS, SHARED = 48, 4, 2
 #: Texts under SHORT words have bands of single words too, over LONG words of three-word runs only.
 SHORT, LONG = 24, 10
 #: A bucket of more texts is compared with its leaders only, round by round.
@@ -38,7 +38,7 @@ PIVOT_WORDS = (
     "le la de les et des un une en du pour que à dans sur par au il est mon",
     "của và là các cho một những được trong với người có không này đã khi từ đến về tôi",
 )
-INDEX = "id bigint, class bigint, n int, pivots array<float>, bands array<bigint>"
+INDEX = "id bigint, class bigint, n int, pivots array<float>, bands array<int>"
 
 
 def split_words(text: str) -> list[str]:
@@ -68,10 +68,10 @@ _PIVOT_BAGS = [Counter(words.split()) for words in PIVOT_WORDS]
 
 
 def bands_of(items: list[str], salt: int) -> list[int]:
-    """One 64-bit bucket a band of the items' MinHash signature."""
+    """One 32-bit bucket a band of the items' MinHash signature."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in set(items)), np.uint64)
     low = ((hashes[None, :] * _MUL + _ADD) >> np.uint64(20)).min(axis=1).reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(row.tobytes(), seed=salt + band) - (1 << 63) for band, row in enumerate(low)]
+    return [xxhash.xxh32_intdigest(row.tobytes(), seed=salt + band) - (1 << 31) for band, row in enumerate(low)]
 
 
 def pivot_distances(words: list[str]) -> list[float]:
@@ -96,7 +96,7 @@ def _index(batches: Iterator) -> Iterator:
             if 0 < len(words) < SHORT:
                 bands += bands_of(words, 1 << 20)
             out["bands"].append(bands)
-        arrays = [pa.array(out["id"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["pivots"], pa.list_(pa.float32())), pa.array(out["bands"], pa.list_(pa.int64()))]
+        arrays = [pa.array(out["id"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["pivots"], pa.list_(pa.float32())), pa.array(out["bands"], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(arrays, list(out))
 
 
@@ -149,10 +149,11 @@ def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_has
     # a class is led by its first row; accepted history rows lead the classes that they are in
     leads = index.filter("n > 0").groupBy("class").agg(F.min("id").alias("lead"))
     members = own.filter("n > 0").select("id", "class").join(leads, "class").select("id", "lead")
-    led = index.join(leads.select(F.col("lead").alias("id")), "id", "left_semi")
+    # later copies of a text are few ids, or many; either way no more than ids travel to leave them out
+    copies = index.filter("n > 0").select("id", "class").join(leads, "class").filter("id <> lead").select("id")
     known = history[0].select("id") if history else spark.createDataFrame([], "id bigint")
 
-    rows = led.select("id", F.explode("bands").alias("bucket"))
+    rows = index.select("id", F.explode("bands").alias("bucket")).join(copies, "id", "left_anti")
     sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     rows = cut(rows.join(sizes, "bucket"))
     small = rows.filter(F.col("size") <= HOT).select("bucket", "id")
@@ -160,13 +161,13 @@ def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_has
     edges = cut(verified(_shared(pairs), index, all_texts))
     hot = rows.filter(F.col("size") > HOT).select("bucket", "id")
 
-    found = cut(_resolve(spark, led.select("id"), known, edges, hot, index, all_texts))
+    found = cut(_resolve(spark, known, edges, hot, index, all_texts))
     # a row of a class goes with its lead: to what the lead repeats, or else to the lead itself
     by_text = members.join(found.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("accepted", "lead").alias("accepted")).filter("id <> accepted")
     return by_text.unionByName(_by_hash(df, key, text, content_hash, by_text, history)).select(F.col("accepted").alias("accepted_id"), F.col("id").alias(key))
 
 
-def _resolve(spark, nodes: DataFrame, known: DataFrame, edges: DataFrame, hot: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
+def _resolve(spark, known: DataFrame, edges: DataFrame, hot: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, accepted) of the rows that repeat an accepted one, in order of id.
 
     A row is accepted once no earlier undecided row is linked to it and it leads all its hot buckets;
@@ -176,27 +177,30 @@ def _resolve(spark, nodes: DataFrame, known: DataFrame, edges: DataFrame, hot: D
     out = spark.createDataFrame([], "id bigint, accepted bigint, share double")
     # only rows with an earlier partner can be repeats; those without any are accepted at once
     waiting = cut(edges.select(F.col("b").alias("id")).unionByName(edges.select(F.col("a").alias("id"))).unionByName(hot.select("id")).distinct())
-    decided_first = known
+    has_hot = not hot.isEmpty()
     for turn in range(10_000):
         if waiting.isEmpty():
             break
         open_edges = edges.join(waiting.withColumnRenamed("id", "a"), "a", "left_semi").join(waiting.withColumnRenamed("id", "b"), "b", "left_semi")
-        open_hot = hot.join(waiting, "id", "left_semi")
-        leads = open_hot.groupBy("bucket").agg(F.min("id").alias("lead"))
-        led = open_hot.join(leads, "bucket")
-        blocked = open_edges.select(F.col("b").alias("id")).unionByName(led.filter("id > lead").select("id"))
-        free = waiting.join(blocked.join(decided_first, "id", "left_anti"), "id", "left_anti")
-        if turn >= ROUNDS and not hot.isEmpty():
-            # leads that reject nobody would take a round each: link what is left of the hot buckets pair by pair
-            more = _shared(open_hot.withColumnRenamed("id", "a").join(open_hot.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b"))
-            edges, hot = cut(edges.unionByName(verified(more, index, texts)).distinct()), hot.limit(0)
-            continue
+        blocked = open_edges.select(F.col("b").alias("id"))
+        if has_hot:
+            open_hot = hot.join(waiting, "id", "left_semi")
+            if turn >= ROUNDS:
+                # leads that take nobody would need a round each: what is left of the hot buckets is linked pair by pair
+                more = _shared(open_hot.withColumnRenamed("id", "a").join(open_hot.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b"))
+                edges, has_hot = cut(edges.unionByName(verified(more, index, texts)).distinct()), False
+                continue
+            led = open_hot.join(open_hot.groupBy("bucket").agg(F.min("id").alias("lead")), "bucket").filter("id > lead")
+            blocked = blocked.unionByName(led.select("id"))
+        # history is accepted from the start, whatever it is linked to
+        free = waiting.join(blocked.join(known, "id", "left_anti"), "id", "left_anti")
         accepted = cut(free)
-        by_edge = open_edges.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share")
-        star = _shared(led.filter("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).join(accepted.withColumnRenamed("id", "a"), "a", "left_semi"))
-        by_lead = verified(star, index, texts).select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share")
-        taken = by_edge.unionByName(by_lead)
-        taken = cut(taken.groupBy("id").agg(F.max(F.struct("share", (-F.col("accepted")).alias("neg"))).alias("best")).select("id", (-F.col("best.neg")).alias("accepted"), F.col("best.share").alias("share")).join(decided_first, "id", "left_anti"))
+        taken = open_edges.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share")
+        if has_hot:
+            star = _shared(led.select(F.col("lead").alias("a"), F.col("id").alias("b")).join(accepted.withColumnRenamed("id", "a"), "a", "left_semi"))
+            taken = taken.unionByName(verified(star, index, texts).select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share"))
+        best = taken.groupBy("id").agg(F.max(F.struct("share", (-F.col("accepted")).alias("neg"))).alias("best"))
+        taken = cut(best.select("id", (-F.col("best.neg")).alias("accepted"), F.col("best.share").alias("share")).join(known, "id", "left_anti"))
         out = out.unionByName(taken)
         waiting = cut(waiting.join(accepted, "id", "left_anti").join(taken, "id", "left_anti"))
     return out.select("id", "accepted")

@@ -23,10 +23,10 @@ from mentia.session import cut
 
 RADIUS = 0.4
 #: Bands and rows of the signature, and the bands that a pair must share.
-BANDS, ROWS, SHARED = 48, 4, 2
+BANDS, ROWS, SHARED = 48, 4, 2  # hot buckets are split by pairs of bands: SHARED is 2
 #: Texts under SHORT words have bands of single words too, over LONG words of three-word runs only.
 SHORT, LONG = 24, 10
-#: A bucket of more texts is compared with its leaders only, round by round.
+#: A bucket of more texts is split, and what is still larger is compared with its leaders only, round by round.
 HOT = 64
 ROUNDS = 12
 PIVOTS = 8
@@ -62,22 +62,22 @@ def lcs_share(a: list[str], b: list[str]) -> float:
 
 
 _RNG = np.random.default_rng(20240607)
-_MUL = _RNG.integers(1, 1 << 62, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 62, (BANDS * ROWS, 1), dtype=np.uint64)
+_MUL = _RNG.integers(1, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _PIVOT_BAGS = [Counter(words.split()) for words in PIVOT_WORDS]
 
 
 def bands_of(items: list[str], salt: int) -> list[int]:
     """One 32-bit bucket a band of the items' MinHash signature."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in set(items)), np.uint64)
-    low = ((hashes[None, :] * _MUL + _ADD) >> np.uint64(20)).min(axis=1).reshape(BANDS, ROWS)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, set(items)), np.uint32)
+    low = (hashes[None, :] * _MUL + _ADD).min(axis=1).reshape(BANDS, ROWS)
     return [xxhash.xxh32_intdigest(row.tobytes(), seed=salt + band) - (1 << 31) for band, row in enumerate(low)]
 
 
 def pivot_distances(words: list[str]) -> list[float]:
     """Bag distance to each pivot: 1 less the common words over the length of the longer of the two."""
     bag, n = Counter(words), len(words)
-    return [1 - sum((bag & pivot).values()) / max(n, sum(pivot.values())) for pivot in _PIVOT_BAGS]
+    return [1 - sum(min(bag[w], k) for w, k in pivot.items() if w in bag) / max(n, sum(pivot.values())) for pivot in _PIVOT_BAGS]
 
 
 def _index(batches: Iterator) -> Iterator:
@@ -127,8 +127,9 @@ def verified(pairs: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
     return with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint, share double").filter(F.col("share") >= 1 - RADIUS)
 
 
-def _shared(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= SHARED).select("a", "b")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, once for each bucket that two ids share. Buckets are small."""
+    return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b")
 
 
 def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_hash: str = "content_hash", history: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -157,9 +158,17 @@ def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_has
     sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     rows = cut(rows.join(sizes, "bucket"))
     small = rows.filter(F.col("size") <= HOT).select("bucket", "id")
-    pairs = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b")
-    edges = cut(verified(_shared(pairs), index, all_texts))
-    hot = rows.filter(F.col("size") > HOT).select("bucket", "id")
+    pairs = _pairs(small).groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= SHARED).select("a", "b")
+    # a pair that meets in a hot bucket must share another one, so hot buckets are split by every second
+    # bucket of their texts: what common phrases brought together falls apart, near copies stay
+    second = rows.select("id", F.col("bucket").alias("other"))
+    both = F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")
+    split = rows.filter(F.col("size") > HOT).select("bucket", "id").join(second, "id").filter("bucket <> other").select(both, "id").distinct()
+    halves = split.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    split = cut(split.join(halves, "bucket"))
+    pairs = pairs.unionByName(_pairs(split.filter(F.col("size") <= HOT).select("bucket", "id"))).distinct()
+    edges = cut(verified(pairs, index, all_texts))
+    hot = split.filter(F.col("size") > HOT).select("bucket", "id")
 
     found = cut(_resolve(spark, known, edges, hot, index, all_texts))
     # a row of a class goes with its lead: to what the lead repeats, or else to the lead itself
@@ -187,7 +196,7 @@ def _resolve(spark, known: DataFrame, edges: DataFrame, hot: DataFrame, index: D
             open_hot = hot.join(waiting, "id", "left_semi")
             if turn >= ROUNDS:
                 # leads that take nobody would need a round each: what is left of the hot buckets is linked pair by pair
-                more = _shared(open_hot.withColumnRenamed("id", "a").join(open_hot.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b"))
+                more = _pairs(open_hot).distinct()
                 edges, has_hot = cut(edges.unionByName(verified(more, index, texts)).distinct()), False
                 continue
             led = open_hot.join(open_hot.groupBy("bucket").agg(F.min("id").alias("lead")), "bucket").filter("id > lead")
@@ -197,7 +206,7 @@ def _resolve(spark, known: DataFrame, edges: DataFrame, hot: DataFrame, index: D
         accepted = cut(free)
         taken = open_edges.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share")
         if has_hot:
-            star = _shared(led.select(F.col("lead").alias("a"), F.col("id").alias("b")).join(accepted.withColumnRenamed("id", "a"), "a", "left_semi"))
+            star = led.select(F.col("lead").alias("a"), F.col("id").alias("b")).join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").distinct()
             taken = taken.unionByName(verified(star, index, texts).select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share"))
         best = taken.groupBy("id").agg(F.max(F.struct("share", (-F.col("accepted")).alias("neg"))).alias("best"))
         taken = cut(best.select("id", (-F.col("best.neg")).alias("accepted"), F.col("best.share").alias("share")).join(known, "id", "left_anti"))

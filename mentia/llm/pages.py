@@ -135,8 +135,9 @@ def label(text: str) -> str:
     The words before a mark must be more than one and not all capitalised: "Read also: ..." is a label,
     a name before a colon is none. What follows a mark must start like a title and end like one.
     """
+    text = " ".join(text.split())
     m = _CREDIT.match(text)
-    if m and m.group(2).istitle():
+    if m and (m.group(2).istitle() or text.isupper()):
         return "b:" + m.group(1).lower()
     m = _LABEL.match(text)
     if not m or len(text) > 90 or m.group(2)[0].islower() or SENTENCE_END.search(text):

@@ -52,6 +52,10 @@ keyerror: 'article' | el servidor tardó demasiado en responder | servicio no di
 texto de ejemplo, sustituir antes de publicar | article de test, merci de l'ignorer | service indisponible, merci de réessayer plus tard
 wartungsarbeiten, bitte später erneut versuchen | testseite, bitte ignorieren | bài kiểm tra hiển thị, vui lòng bỏ qua
 hệ thống đang bảo trì, vui lòng quay lại sau | văn bản mẫu | đang kiểm tra trình duyệt trước khi mở
+phiên làm việc đã hết hạn, hãy đăng nhập lại | đây là bài viết mẫu, hãy xóa và viết nội dung của bạn
+blindtext für das layout | dies ist ein beispieltext und wird noch ersetzt | inhalt folgt in kürze
+bestätigen sie, dass sie kein roboter sind | bitte aktivieren sie javascript, um diese seite zu sehen
+confirmez que vous n'êtes pas un robot | no tiene permiso para ver este recurso
 bitte aktivieren sie javascript, um diese seite anzuzeigen | ihr browser wird nicht unterstützt | ihr browser wird geprüft, bevor
 """
 # Words of the Latin filler text.
@@ -146,7 +150,7 @@ def coverage(text: str) -> tuple[float, int]:
 
 def is_residue(text: str) -> bool:
     """Whether a line is residue by its matched coverage."""
-    share, holders = coverage(text)
+    share, holders = coverage(" ".join(text.split()))
     return holders >= LINE_PLACEHOLDERS or share >= LINE_COVERAGE
 
 

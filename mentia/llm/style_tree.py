@@ -75,10 +75,10 @@ def article_lines(lines: list[P.Line], title: str | None, name: str, own: set[in
             headline = i if headline is None else headline
             furniture[i] = False
             continue
-        nodes = [code(k) for k in node_keys(line, name)]
-        bad = line.link or P.HANDLE.match(line.text) or any(k in own for k in nodes)
-        # failure messages and the like are met on many hosts, but they stand for the article
-        bad = bad or any(k in every for k in nodes) and not is_residue(line.text)
+        bad = line.link or P.HANDLE.match(line.text) or line.style.startswith("noscript")
+        if not bad and any((k := code(key)) in own or k in every for key in node_keys(line, name)):
+            # failure messages and the like are met on many pages, but they stand for the article
+            bad = not is_residue(line.text)
         furniture[i] = bool(bad)
     kept = [i for i in range(n) if not furniture[i]]
     if not kept:
@@ -107,7 +107,7 @@ def _bodies(lines: list[P.Line], kept: list[int], headline: int | None) -> list[
         if i == headline:
             continue
         goes_on = bool(out) and out[-1] == i - 1 and len(lines[i - 1].text) >= 45 and not P.SENTENCE_END.search(lines[i - 1].text)
-        if goes_on or len(text) >= 60 or P.SENTENCE_END.search(text) and len(text.split()) >= 3:
+        if goes_on or len(text) >= 60 or P.SENTENCE_END.search(text) and len(text.split()) >= 3 or is_residue(text):
             out.append(i)
     return out
 

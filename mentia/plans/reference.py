@@ -390,37 +390,37 @@ def fnv_vocabulary(spark: SparkSession, root: str) -> DataFrame:
     return words.select("token", H.fnv1a(F.col("token")).alias("h")).select("token", H.hex64(F.col("h.hi"), F.col("h.lo")).alias("fnv"))
 
 
-_SIM_CTE = f"""tok AS (SELECT cand_id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS w FROM ai_candidates WHERE title IS NOT NULL),
+_SIM_CTE = f"""tok AS (SELECT cand_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM ai_candidates WHERE text IS NOT NULL),
 h AS (SELECT w, {_FNV_SQL} AS f FROM (SELECT DISTINCT w FROM tok)),
 b AS (SELECT t.cand_id, i, sum(CASE WHEN (h.f // (1::HUGEINT << i)) % 2 = 1 THEN 1 ELSE -1 END) AS s FROM tok t JOIN h ON h.w = t.w CROSS JOIN range(0, 64) r(i) GROUP BY ALL),
 sim AS (SELECT cand_id, CAST(sum(CASE WHEN i >= 32 AND s > 0 THEN 1::BIGINT << (i - 32) ELSE 0 END) AS BIGINT) AS sim_hi, CAST(sum(CASE WHEN i < 32 AND s > 0 THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS sim_lo FROM b GROUP BY cand_id)"""
 
 
-def title_sims(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "ai_candidates").filter("title is not null").select("cand_id", "title")
-    return H.simhash(rows, "cand_id", T.tokens(F.col("title")))
+def text_sims(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "ai_candidates").filter("text is not null").select("cand_id", "text")
+    return H.simhash(rows, "cand_id", T.tokens(F.col("text")))
 
 
 @query(f"WITH {_SIM_CTE} SELECT cand_id, sim_hi, sim_lo FROM sim")
-def title_simhash(spark: SparkSession, root: str) -> DataFrame:
-    """SimHash of every title."""
-    return title_sims(spark, root)
+def text_simhash(spark: SparkSession, root: str) -> DataFrame:
+    """SimHash of every text."""
+    return text_sims(spark, root)
 
 
 @query(f"""WITH {_SIM_CTE}, c AS (SELECT sim_hi, sim_lo, min(cand_id) AS id FROM sim GROUP BY ALL)
 SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo)) AS BIGINT) AS distance FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo)) <= 3""")
-def near_title_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs of different title SimHashes within three bits."""
-    return D.near_pairs(cut(title_sims(spark, root)), "cand_id").withColumn("distance", F.col("distance").cast("bigint"))
+def near_text_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of different text SimHashes within three bits."""
+    return D.near_pairs(cut(text_sims(spark, root)), "cand_id").withColumn("distance", F.col("distance").cast("bigint"))
 
 
 @query(f"""WITH RECURSIVE {_SIM_CTE}, c AS (SELECT sim_hi, sim_lo, min(cand_id) AS id FROM sim GROUP BY ALL),
 e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id <> b.id AND bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo)) <= 3),
 w AS (SELECT id, id AS root FROM c UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id WHERE w.root < e.b)
 SELECT s.cand_id, min(w.root) AS story FROM sim s JOIN c ON c.sim_hi = s.sim_hi AND c.sim_lo = s.sim_lo JOIN w ON w.id = c.id GROUP BY s.cand_id""")
-def title_stories(spark: SparkSession, root: str) -> DataFrame:
-    """Stories: all titles that near pairs connect."""
-    sims = cut(title_sims(spark, root))
+def text_stories(spark: SparkSession, root: str) -> DataFrame:
+    """Stories: all texts that near pairs connect."""
+    sims = cut(text_sims(spark, root))
     classes = sims.groupBy("sim_hi", "sim_lo").agg(F.min("cand_id").alias("id"))
     found = D.components(classes, D.near_pairs(sims, "cand_id"), "id")
     return sims.join(classes, ["sim_hi", "sim_lo"]).join(found, "id").select("cand_id", F.col("component").alias("story"))
@@ -437,10 +437,10 @@ def similar_titles(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""WITH {_SIM_CTE.split('b AS')[0].rstrip(', ').rstrip().rstrip(',')}, v AS (SELECT cand_id, CAST(h.f % 64 AS BIGINT) AS place, sum(CASE WHEN h.f >= 9223372036854775808::HUGEINT THEN -1 ELSE 1 END) AS s FROM tok t JOIN h ON h.w = t.w GROUP BY ALL HAVING sum(CASE WHEN h.f >= 9223372036854775808::HUGEINT THEN -1 ELSE 1 END) <> 0)
 SELECT cand_id, place, CAST(round(s / sqrt(sum(s * s) OVER (PARTITION BY cand_id)), 9) AS DOUBLE) AS value FROM v""")
-def title_embedding(spark: SparkSession, root: str) -> DataFrame:
-    """Cells of the hashed embedding of every title."""
-    rows = table(spark, root, "ai_candidates").filter("title is not null").select("cand_id", "title")
-    return H.hashed_embedding(rows, "cand_id", T.tokens(F.col("title"))).select("cand_id", F.col("place").cast("bigint").alias("place"), F.round("value", 9).alias("value"))
+def text_embedding(spark: SparkSession, root: str) -> DataFrame:
+    """Cells of the hashed embedding of every text."""
+    rows = table(spark, root, "ai_candidates").filter("text is not null").select("cand_id", "text")
+    return H.hashed_embedding(rows, "cand_id", T.tokens(F.col("text"))).select("cand_id", F.col("place").cast("bigint").alias("place"), F.round("value", 9).alias("value"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -558,6 +558,91 @@ def retained_discoveries(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "discoveries").filter(F.col("discovered_at") >= F.lit("2025-07-04").cast("timestamp"))
     return rows.groupBy("source", F.to_date("discovered_at").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
+# ------------------------------------------------------------------ further predicates, joins and windows
+
+
+@query(r"""SELECT raw_id FROM raw_content WHERE (content_type IS NULL OR regexp_matches(lower(content_type), '^(text/|application/(xhtml\+xml|xml|json|rss\+xml|atom\+xml))')) AND octet_length(encode(coalesce(body, ''))) <= 5 * 1024 * 1024""")
+def storable_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of a textual type, or of none, of at most 5 MiB."""
+    textual = F.col("content_type").isNull() | F.lower("content_type").rlike(r"^(text/|application/(xhtml\+xml|xml|json|rss\+xml|atom\+xml))")
+    return table(spark, root, "raw_content").filter(textual & (F.octet_length(F.coalesce("body", F.lit(""))) <= 5 * 1024 * 1024)).select("raw_id")
+
+
+@query("""SELECT alert_id, monitor_id, count(*) FILTER (priority <> 'normal') AS attempts, CAST(epoch_us(max(received_at)) AS BIGINT) AS updated_us, arg_max(severity, (received_at, message_id)) AS severity FROM alert_messages WHERE alert_id <> '' AND received_at IS NOT NULL GROUP BY ALL""")
+def delivery_upserts(spark: SparkSession, root: str) -> DataFrame:
+    """State that repeated upserts by alert and monitor leave: attempts add up, the rest is the last's."""
+    rows = table(spark, root, "alert_messages").filter("alert_id <> '' and received_at is not null")
+    return rows.groupBy("alert_id", "monitor_id").agg(F.count_if(F.col("priority") != "normal").alias("attempts"), F.unix_micros(F.max("received_at").cast("timestamp")).alias("updated_us"), F.max_by("severity", F.struct("received_at", "message_id")).alias("severity"))
+
+
+@query("""WITH h AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS t, count(*) AS n FROM events GROUP BY ALL),
+d AS (SELECT *, n - lag(n) OVER w AS growth FROM h WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+a AS (SELECT *, growth - lag(growth) OVER (PARTITION BY event_type ORDER BY t) AS acceleration FROM d)
+SELECT event_type, CAST(epoch_us(t) AS BIGINT) AS hour_us, n, growth, acceleration, CAST(round(percent_rank() OVER (PARTITION BY event_type ORDER BY n), 9) AS DOUBLE) AS standing FROM a""")
+def growth_and_acceleration(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly counts of each kind of event with growth, its change, and the standing among the kind's hours."""
+    rows = table(spark, root, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    hourly, kind = O.rates(rows, "ts", ["event_type"], "1 hour"), Window.partitionBy("event_type")
+    order = kind.orderBy("window_start")
+    rows = hourly.withColumn("growth", F.col("n") - F.lag("n").over(order))
+    rows = rows.withColumn("acceleration", F.col("growth") - F.lag("growth").over(order)).withColumn("standing", F.round(F.percent_rank().over(kind.orderBy("n")), 9))
+    return rows.select("event_type", F.unix_micros("window_start").alias("hour_us"), "n", "growth", "acceleration", "standing")
+
+
+@query(f"WITH {_MENTION_CTE} SELECT source, norm_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY severity DESC, discovered_at DESC NULLS LAST, norm_id) AS k FROM mentions WHERE sentiment = 'negative') WHERE k <= 4")
+def worst_by_source(spark: SparkSession, root: str) -> DataFrame:
+    """The four worst mentions of each source: a top-k report."""
+    rows = mentions(spark, root).filter("sentiment = 'negative'")
+    return D.top_per(rows, [F.col("source")], [F.desc("severity"), F.col("discovered_at").desc_nulls_last(), F.col("norm_id")], 4).select("source", "norm_id", "severity")
+
+
+@query("""SELECT n.norm_id, r.raw_id FROM normalized_content n JOIN raw_content r ON lower(n.canonical_url) = lower(r.url) AND r.fetched_at <= n.ingested_at AND r.fetched_at >= n.ingested_at - INTERVAL 1 DAY""")
+def fresh_fetches(spark: SparkSession, root: str) -> DataFrame:
+    """Texts whose page was fetched in the day before: an equi-join with an interval."""
+    texts = table(spark, root, "normalized_content").select("norm_id", F.lower("canonical_url").alias("url"), "ingested_at")
+    pages = table(spark, root, "raw_content").select("raw_id", F.lower("url").alias("url"), "fetched_at")
+    fresh = (F.col("fetched_at") <= F.col("ingested_at")) & (F.col("fetched_at") >= F.col("ingested_at") - F.expr("interval 1 day"))
+    return texts.join(pages, "url").filter(fresh).select("norm_id", "raw_id")
+
+
+@query(r"""SELECT discovery_id, CAST(epoch_us(coalesce(CASE WHEN regexp_matches(published_at, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$') THEN try_cast(replace(replace(published_at, 'T', ' '), 'Z', '') AS TIMESTAMP) END, discovered_at, ingested_at)) AS BIGINT) AS event_us FROM discoveries""")
+def event_times(spark: SparkSession, root: str) -> DataFrame:
+    """Time of each discovery: when published in the own form, else discovered, else ingested."""
+    own = F.when(F.col("published_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"), F.try_to_timestamp("published_at"))
+    at = F.coalesce(own, F.col("discovered_at").cast("timestamp"), F.col("ingested_at").cast("timestamp"))
+    return table(spark, root, "discoveries").select("discovery_id", F.unix_micros(at).alias("event_us"))
+
+
+@query(f"""WITH {_SIM_CTE}, n AS (SELECT q.cand_id AS query_id, s.cand_id, bit_count(xor(q.sim_hi, s.sim_hi)) + bit_count(xor(q.sim_lo, s.sim_lo)) AS distance FROM sim q JOIN sim s ON q.cand_id % 50 = 0 AND q.cand_id <> s.cand_id AND (q.sim_hi <> 0 OR q.sim_lo <> 0))
+SELECT query_id, cand_id, CAST(distance AS BIGINT) AS distance FROM n WHERE distance <= 3""")
+def near_texts_of_queries(spark: SparkSession, root: str) -> DataFrame:
+    """Texts within three bits of every fiftieth one's, against all, by bands."""
+    rows = D.band_rows(cut(text_sims(spark, root)), "cand_id")
+    q = rows.filter("cand_id % 50 = 0").select(F.col("cand_id").alias("query_id"), F.col("sim_hi").alias("qh"), F.col("sim_lo").alias("ql"), "band", "value")
+    met = q.join(rows, ["band", "value"]).filter("query_id <> cand_id").withColumn("distance", H.hamming(F.col("qh"), F.col("ql"), F.col("sim_hi"), F.col("sim_lo")).cast("bigint"))
+    return met.filter("distance <= 3").select("query_id", "cand_id", "distance").distinct()
+
+
+@query("""SELECT monitor_id, source, CAST(least(1000, 300 * CASE WHEN age <= 1 THEN 1.0 WHEN age <= 6 THEN 0.8 WHEN age <= 24 THEN 0.5 ELSE 0.1 END + 10 * least(n, 50)) AS BIGINT) AS priority FROM (
+SELECT monitor_id, source, count(*) AS n, date_diff('hour', max(discovered_at), TIMESTAMP '2025-12-31') AS age FROM discoveries WHERE discovered_at IS NOT NULL GROUP BY ALL)""")
+def candidate_priority(spark: SparkSession, root: str) -> DataFrame:
+    """Priority of each monitor's sources by freshness in steps and by volume, 0 to 1000."""
+    now = F.lit("2025-12-31").cast("timestamp")
+    age = F.timestamp_diff("HOUR", F.date_trunc("hour", F.max("discovered_at").cast("timestamp")), now)
+    rows = table(spark, root, "discoveries").filter("discovered_at is not null").groupBy("monitor_id", "source").agg(F.count("*").alias("n"), age.alias("age"))
+    step = F.when(F.col("age") <= 1, 1.0).when(F.col("age") <= 6, 0.8).when(F.col("age") <= 24, 0.5).otherwise(0.1)
+    return rows.select("monitor_id", "source", F.least(F.lit(1000.0), F.lit(300) * step + F.lit(10) * F.least("n", F.lit(50))).cast("bigint").alias("priority"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT monitor_id, unnest(regexp_extract_all(lower(monitor_name), '[\p{L}\p{N}]+')) AS w FROM monitors),
+t AS (SELECT DISTINCT discovery_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS w FROM discoveries)
+SELECT t.discovery_id, w.monitor_id, count(*) AS words FROM t JOIN w ON w.w = t.w GROUP BY ALL""")
+def monitor_index(spark: SparkSession, root: str) -> DataFrame:
+    """Monitors that a title may concern, by an inverted index of the words of their names."""
+    words = table(spark, root, "monitors").select("monitor_id", F.explode(F.array_distinct(T.tokens(F.col("monitor_name")))).alias("w"))
+    titles = table(spark, root, "discoveries").filter("title is not null").select("discovery_id", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("w"))
+    return titles.join(words, "w").groupBy("discovery_id", "monitor_id").agg(F.count("*").alias("words"))
+
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """Latest severe mentions that match a Boolean query."""

@@ -109,19 +109,20 @@ def matches(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    # a number is one sign
+    plain = _DIGITS.sub("#", low)
+    hits = list(automaton().iter(plain))
+    if not hits:
+        return [], [s for s in holders if not quoted(text, *s)]
     index = None
-    plain = low
-    if _DIGITS.search(low):
-        # a number is one sign, keeping the places of all others
-        index, parts, at = [], [], 0
+    if plain != low:
+        index, at = [], 0
         for m in _DIGITS.finditer(low):
             index += range(at, m.start() + 1)
-            parts += [low[at : m.start()], "#"]
             at = m.end()
         index += range(at, len(low) + 1)
-        plain = "".join(parts) + low[at:]
     phrases, filler = [], []
-    for end, (size, word) in automaton().iter(plain):
+    for end, (size, word) in hits:
         start = end - size + 1
         if start and plain[start - 1].isalpha() and plain[start].isalpha() or end + 1 < len(plain) and plain[end + 1].isalpha() and plain[end].isalpha():
             continue
@@ -148,8 +149,9 @@ def coverage(text: str) -> tuple[float, int]:
     return (hit / total if total else 0.0), len(holders)
 
 
+@lru_cache(maxsize=50_000)
 def is_residue(text: str) -> bool:
-    """Whether a line is residue by its matched coverage."""
+    """Whether a line is residue by its matched coverage. Lines repeat, and are asked for more than once."""
     share, holders = coverage(" ".join(text.split()))
     return holders >= LINE_PLACEHOLDERS or share >= LINE_COVERAGE
 

@@ -12,8 +12,10 @@ element, or in plain texts outside the span, that holds the important text.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -51,6 +53,23 @@ def node_keys(line: P.Line, name: str) -> list[str]:
     return [*keys, mark] if mark else keys
 
 
+#: From this length a leaf is its text without digits: it is too long for a label or a credit.
+LONG_LEAF = 300
+_DIGITS = re.compile(r"\d+")
+
+
+@lru_cache(maxsize=100_000)
+def _short_codes(text: str, name: str) -> tuple[int, ...]:
+    return tuple(code(k) for k in node_keys(P.Line(0, text, "", (), False, False), name))
+
+
+def node_codes(line: P.Line, name: str) -> tuple[int, ...]:
+    """Codes of a leaf's content nodes. What a site repeats is short and remembered."""
+    if len(line.text) < LONG_LEAF:
+        return _short_codes(line.text, name) if line.text else ()
+    return (code("w:" + " ".join(_DIGITS.sub("", line.text.lower()).split())),)
+
+
 def importance(n: float, m: float) -> float:
     """1 - log_m n: the importance of a node met on n of m pages."""
     return 1.0 if n <= 1 else max(0.0, 1 - math.log(n) / math.log(max(m, 2)))
@@ -76,7 +95,7 @@ def article_lines(lines: list[P.Line], title: str | None, name: str, own: set[in
             furniture[i] = False
             continue
         bad = line.link or P.HANDLE.match(line.text) or line.style.startswith("noscript")
-        if not bad and any((k := code(key)) in own or k in every for key in node_keys(line, name)):
+        if not bad and any(k in own or k in every for k in node_codes(line, name)):
             # failure messages and the like are met on many pages, but they stand for the article
             bad = not is_residue(line.text)
         furniture[i] = bool(bad)
@@ -154,8 +173,7 @@ def _counts(batches: Iterator) -> Iterator:
             mine = by.setdefault(site, Counter())
             met = set()
             for line in P.lines_of(text):
-                for key in node_keys(line, name):
-                    met.add(code(key))
+                met.update(node_codes(line, name))
             mine.update(met)
             mine[0] += 1  # pages
         if by:

@@ -189,7 +189,8 @@ def unimportant_nodes(docs: DataFrame) -> DataFrame:
     counts = cut(counts.filter((F.col("n") >= MIN_PAGES) | (F.col("node") == 0)))
     pages = counts.filter("node = 0").select("site", F.col("n").alias("m"))
     own = counts.filter("node <> 0").join(pages, "site").filter((F.col("n") >= MIN_SHARE * F.col("m")) & (1 - F.log("n") / F.log(F.greatest("m", F.lit(2))) < IMPORTANCE))
-    every = counts.filter("node <> 0").groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).crossJoin(pages.agg(F.sum("m").alias("m"))).filter((F.col("hosts") >= CORPUS_HOSTS) & (F.col("n") >= CORPUS_SHARE * F.col("m")))
+    total = pages.agg(F.sum("m")).first()[0] or 0
+    every = counts.filter("node <> 0").groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).filter((F.col("hosts") >= CORPUS_HOSTS) & (F.col("n") >= CORPUS_SHARE * total))
     return own.groupBy("site").agg(F.collect_list("node").alias("nodes")).unionByName(every.agg(F.collect_list("node").alias("nodes")).select(F.lit(EVERYWHERE).alias("site"), "nodes"))
 
 
@@ -222,8 +223,10 @@ def extract(docs: DataFrame, each=None, extra: str = "") -> DataFrame:
 
     spark = docs.sparkSession
     nodes = cut(unimportant_nodes(docs))
+    # the corpus has at most lines-per-page / CORPUS_SHARE nodes; those of all hosts are counted first
     copies = 8 * (nodes.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= COPY_BYTES
-    shared = spark.sparkContext.broadcast({r.site: np.array(r.nodes, np.int64) for r in nodes.toLocalIterator()}) if copies else None
+    here = nodes if copies else nodes.filter(F.col("site") == EVERYWHERE)
+    shared = spark.sparkContext.broadcast({r.site: np.array(r.nodes, np.int64) for r in here.toLocalIterator()})
     ddl = "record_table string, record_id bigint, residue boolean, lines array<int>" + (f", {extra}" if extra else "")
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     names = schema.names[4:]
@@ -242,7 +245,7 @@ def extract(docs: DataFrame, each=None, extra: str = "") -> DataFrame:
             rows = batch.to_pydict()
             out: dict[str, list] = {c: [] for c in ("residue", "lines", *names)}
             for i, (site, title, text) in enumerate(zip(rows["site"], rows["title"], rows["text"])):
-                own, every = (of(site), of(EVERYWHERE)) if copies else (set(rows["own"][i] or ()), set(rows["every"][i] or ()))
+                own, every = of(site) if copies else set(rows["own"][i] or ()), of(EVERYWHERE)
                 numbers, texts, bad = _decide(text, title, site, own, every)
                 out["residue"].append(bad)
                 out["lines"].append([] if bad else numbers)
@@ -252,6 +255,5 @@ def extract(docs: DataFrame, each=None, extra: str = "") -> DataFrame:
             yield pa.RecordBatch.from_pydict({"record_table": rows["record_table"], "record_id": rows["record_id"], **out}, schema=schema)
 
     if not copies:
-        every = nodes.filter(F.col("site") == EVERYWHERE).select(F.col("nodes").alias("every"))
-        docs = docs.join(nodes.filter(F.col("site") != EVERYWHERE).withColumnRenamed("nodes", "own"), "site", "left").crossJoin(F.broadcast(every))
+        docs = docs.join(nodes.withColumnRenamed("nodes", "own"), "site", "left")
     return docs.mapInArrow(run, ddl)

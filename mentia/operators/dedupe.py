@@ -8,6 +8,10 @@ from mentia.functions.hashing import hamming, jaccard
 from mentia.session import cut
 
 
+#: Queries a block of the exact vector search: what one task holds of them, however many there are.
+BLOCK_QUERIES = 500
+
+
 def first_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return _ranked(df, keys, order).filter("__n = 1").drop("__n")
@@ -120,9 +124,10 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, queries: Column, most:
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     rows = df.select(F.col(key), F.transform(vector, lambda x: x.cast("double")).alias("v"), norm.alias("len"), queries.alias("q")).filter("len > 0")
-    asked = rows.filter("q").select(F.col(key).alias("query_id"), F.col("v").alias("qv"), F.col("len").alias("ql"), F.pmod(F.xxhash64(key), F.lit(64)).alias("block"))
+    count = max(1, -(-rows.filter("q").count() // BLOCK_QUERIES))
+    asked = rows.filter("q").select(F.col(key).alias("query_id"), F.col("v").alias("qv"), F.col("len").alias("ql"), F.pmod(F.xxhash64(key), F.lit(count)).alias("block"))
     blocks = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv", "ql")).alias("qs"))
-    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(blocks, "block").select(key, "v", "len", F.explode("qs").alias("s")).filter(F.col("s.query_id") != F.col(key))
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(blocks, "block").select(key, "v", "len", F.explode("qs").alias("s")).filter(F.col("s.query_id") != F.col(key))
     dot = F.aggregate(F.zip_with("v", F.col("s.qv"), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     scored = met.select(F.col("s.query_id").alias("query_id"), key, (dot / (F.col("len") * F.col("s.ql"))).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), key))

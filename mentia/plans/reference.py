@@ -268,11 +268,11 @@ def monitor_rollup(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "crawl_jobs").groupBy("monitor_id").agg(F.count("*").alias("jobs"), F.countDistinct("url").alias("urls"), F.count_if(F.col("priority") == "emergency").alias("emergencies"), F.count_if(F.col("attempt") > 0).alias("retries"))
 
 
-@query("""WITH c AS (SELECT monitor_id, source, count(*) AS n FROM discoveries GROUP BY ALL) SELECT monitor_id, sum(n)::BIGINT AS total, max_by(source, n * 1000 - ascii(source)) AS top_source, max(n) AS top_n FROM c GROUP BY monitor_id""")
+@query("""WITH c AS (SELECT monitor_id, source, count(*) AS n FROM discoveries GROUP BY ALL) SELECT monitor_id, sum(n)::BIGINT AS total, arg_max(source, (n, source)) AS top_source, max(n) AS top_n FROM c GROUP BY monitor_id""")
 def top_channels(spark: SparkSession, root: str) -> DataFrame:
     """Each monitor's strongest channel."""
     rows = table(spark, root, "discoveries").groupBy("monitor_id", "source").agg(F.count("*").alias("n"))
-    return rows.groupBy("monitor_id").agg(F.sum("n").alias("total"), F.max_by("source", F.col("n") * 1000 - F.ascii("source")).alias("top_source"), F.max("n").alias("top_n"))
+    return rows.groupBy("monitor_id").agg(F.sum("n").alias("total"), F.max_by("source", F.struct("n", "source")).alias("top_source"), F.max("n").alias("top_n"))
 
 
 @query("""SELECT tenant_id, monitor_id, source, CAST(grouping_id(tenant_id, monitor_id, source) AS BIGINT) AS level, count(*) AS n FROM discoveries GROUP BY ROLLUP (tenant_id, monitor_id, source)""")

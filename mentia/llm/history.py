@@ -5,15 +5,19 @@ subsequence. Both it and the bag distance 1 - |common words| / length, which is
 metrics. The index keeps for each text its bag distances to fixed pivots: where they differ by more than
 the radius 0.4 for any pivot, the triangle inequality rules the pair out. Texts of this length lie at
 nearly the same distance from any pivot, so pivots alone leave nearly all pairs (figures in the README);
-pairs are therefore first met in the bands of a MinHash signature that is stored beside the distances,
-then pruned by pivots, then verified by the exact distance. History is never computed again: a batch
-only reads index rows and the texts that it is compared with, and its accepted rows are appended.
+pairs are therefore met by their common words, counted block by block over inverted lists, which leaves
+out no pair within the radius; then pruned by pivots, then verified by the exact distance. Only groups of
+near copies, found by the bands of a MinHash signature that is stored beside the distances, are compared
+with their leaders instead. Pairs within history are never compared again: a batch is compared with
+itself and with history, and its accepted rows are appended.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -22,8 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 from mentia.session import cut
 
 RADIUS = 0.4
-#: Bands and rows of the signature, and the bands that a pair must share.
-BANDS, ROWS, SHARED = 48, 4, 2  # hot buckets are split by pairs of bands: SHARED is 2
+#: Bands and rows of the signature.
+BANDS, ROWS = 48, 4
+#: Words of a block of texts. Words of more than COMMON of a block's texts are kept as bits, others as lists of texts.
+BLOCK, COMMON = 1_500_000, 0.15
 #: Texts under SHORT words have bands of single words too, over LONG words of three-word runs only.
 SHORT, LONG = 24, 10
 #: A bucket of more texts is split, and what is still larger is compared with its leaders only, round by round.
@@ -127,6 +133,122 @@ def verified(pairs: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
     return with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint, share double").filter(F.col("share") >= 1 - RADIUS)
 
 
+def tokens_of(words: list[str]) -> np.ndarray:
+    """One 32-bit code for each occurrence of a word in the bag: equal bags have equal codes. Ascending, each once."""
+    codes = np.sort(np.fromiter(map(_word_code, words), np.uint32, len(words)))
+    at = np.arange(len(codes))
+    first = np.maximum.accumulate(np.where(np.r_[True, codes[1:] != codes[:-1]], at, 0))
+    return np.unique(codes + (at - first).astype(np.uint32) * np.uint32(0x9E3779B1))
+
+
+@lru_cache(maxsize=300_000)
+def _word_code(word: str) -> int:
+    return xxhash.xxh32_intdigest(word)
+
+
+BLOCKS = "known boolean, block int, low int, high int, ids binary, sizes binary, kinds binary, tokens binary, hot array<array<bigint>>"
+
+
+def _block(key, rows):
+    """One row with the bags of a block's texts: ids, words, distinct codes and codes of each."""
+    import pyarrow as pa
+
+    sizes, tokens = [], []
+    for text in rows.column("text").to_pylist():
+        words = split_words(text)
+        sizes.append(len(words))
+        tokens.append(tokens_of(words))
+    kinds = np.array([len(t) for t in tokens], np.int32)
+    packed = [rows.column("id").to_numpy().astype(np.int64), np.array(sizes, np.int32), kinds, np.concatenate(tokens)]
+    head = [pa.array([key[0].as_py()], pa.bool_()), *[pa.array([x], pa.int32()) for x in (key[1].as_py(), min(sizes), max(sizes))]]
+    hot = pa.array([[x or [] for x in rows.column("hot").to_pylist()]], pa.list_(pa.list_(pa.int64())))
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    return pa.Table.from_arrays([*head, *[pa.array([x.tobytes()], pa.binary()) for x in packed], hot], names)
+
+
+def common_words(a: tuple, b: tuple, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, texts i of block a) of the texts j of block b whose bags may have 1 - RADIUS of the longer text in common.
+
+    A block is (words, distinct codes, codes) of its texts. None within the radius is missing: codes that
+    two words share only raise the count. Of one block (``same``) i < j.
+    """
+    (n_a, kinds_a, codes_a), (n_b, kinds_b, codes_b) = a, b
+    order = np.argsort(codes_a, kind="stable")
+    lists = np.repeat(np.arange(len(n_a)), kinds_a)[order]
+    codes, start = np.unique(codes_a[order], return_index=True)
+    start = np.append(start, len(lists))
+    often = np.flatnonzero(np.diff(start) > COMMON * len(n_a))
+    bit = np.full(len(codes), -1)
+    bit[often] = np.arange(len(often))
+    bits_a, bits_b = (np.zeros((len(n), len(often) // 64 + 1), np.uint64) for n in (n_a, n_b))
+    for k, c in enumerate(often):
+        bits_a[lists[start[c] : start[c + 1]], k >> 6] |= np.uint64(1 << (k & 63))
+    at = np.minimum(np.searchsorted(codes, codes_b), max(len(codes) - 1, 0))
+    owner = np.repeat(np.arange(len(n_b)), kinds_b)
+    met = codes[at] == codes_b
+    is_bit = met & (bit[at] >= 0)
+    k = bit[at[is_bit]]
+    np.bitwise_or.at(bits_b, (owner[is_bit], k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
+    often_a, often_b = (np.bitwise_count(bits).sum(1, dtype=np.int64) for bits in (bits_a, bits_b))
+    is_list = met & (bit[at] < 0)
+    at, ends = at[is_list], np.searchsorted(owner[is_list], np.arange(len(n_b) + 1))
+    lo, hi = start[at].tolist(), start[at + 1].tolist()
+    lost_a, lost_b = n_a - kinds_a, n_b - kinds_b
+    for j in range(len(n_b)):
+        parts = [lists[x:y] for x, y in zip(lo[ends[j] : ends[j + 1]], hi[ends[j] : ends[j + 1]])]
+        count = np.bincount(np.concatenate(parts), minlength=len(n_a)) if parts else np.zeros(len(n_a), np.int64)
+        need = np.ceil((1 - RADIUS) * np.maximum(n_a, n_b[j]) - 1e-6) - np.minimum(lost_a, lost_b[j])
+        i = np.flatnonzero(count + np.minimum(often_a, often_b[j]) >= need)
+        if same:
+            i = i[i < j]
+        i = i[count[i] + np.bitwise_count(bits_a[i] & bits_b[j]).sum(1, dtype=np.int64) >= need[i]]
+        if len(i):
+            yield j, i
+
+
+def _meet(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            sides = {s: [np.frombuffer(row[f"{s}_{c}"], t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("kinds", np.int32), ("tokens", np.uint32))] for s in "ab"}
+            hot = {s: [frozenset(x) for x in row[f"{s}_hot"]] for s in "ab"}
+            out_a, out_b = [], []
+            for j, found in common_words(tuple(sides["a"][1:]), tuple(sides["b"][1:]), row["same"]):
+                if hot["b"][j]:
+                    # near copies of a hot bucket are compared with its leaders
+                    found = np.array([i for i in found if hot["a"][i].isdisjoint(hot["b"][j])], np.int64)
+                x, y = sides["a"][0][found], sides["b"][0][j]
+                out_a.append(np.minimum(x, y))
+                out_b.append(np.maximum(x, y))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
+def candidates(texts: DataFrame, index: DataFrame, hot: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of ``texts`` whose words may be within the radius, but pairs of one hot bucket and of two known texts.
+
+    Texts are put in blocks by length, each length class as wide as the radius allows, and every block meets
+    those of its own and the next class. Work grows with the square of the texts.
+    """
+    width = -math.log(1 - RADIUS)
+    by_length = index.select("id", "n", F.floor(F.log("n") / width).cast("int").alias("length")).filter("n > 0")
+    words = {r.length: r.words for r in by_length.groupBy("length").agg(F.sum("n").alias("words")).collect()}
+    if not words:
+        return texts.sparkSession.createDataFrame([], "a bigint, b bigint")
+    parts = F.create_map(*[F.lit(x) for length, w in words.items() for x in (length, math.ceil(w / BLOCK))])
+    # at most 2^16 blocks a class
+    block = (F.col("length") * 65536 + F.pmod(F.xxhash64("id"), parts[F.col("length")])).cast("int")
+    rows = texts.join(by_length.select("id", block.alias("block")), "id").join(hot.groupBy("id").agg(F.collect_set("bucket").alias("hot")), "id", "left")
+    rows = rows.join(known.withColumn("known", F.lit(True)), "id", "left").select(F.coalesce("known", F.lit(False)).alias("known"), "block", "id", "text", "hot")
+    blocks = cut(rows.groupBy("known", "block").applyInArrow(_block, BLOCKS))
+    side = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns])
+    order = lambda s: F.struct(f"{s}_known", f"{s}_block")
+    reach = (F.col("a_high") >= (1 - RADIUS) * F.col("b_low") - 1e-6) & (F.col("b_high") >= (1 - RADIUS) * F.col("a_low") - 1e-6)
+    pairs = side("a").hint("shuffle_replicate_nl").join(side("b"), (order("a") <= order("b")) & ~(F.col("a_known") & F.col("b_known")) & reach)
+    return pairs.withColumn("same", order("a") == order("b")).mapInArrow(_meet, "a bigint, b bigint")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """(a, b), a < b, once for each bucket that two ids share. Buckets are small."""
     return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b")
@@ -155,20 +277,17 @@ def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_has
     known = history[0].select("id") if history else spark.createDataFrame([], "id bigint")
 
     rows = index.select("id", F.explode("bands").alias("bucket")).join(copies, "id", "left_anti")
-    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
-    rows = cut(rows.join(sizes, "bucket"))
-    small = rows.filter(F.col("size") <= HOT).select("bucket", "id")
-    pairs = _pairs(small).groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= SHARED).select("a", "b")
-    # a pair that meets in a hot bucket must share another one, so hot buckets are split by every second
-    # bucket of their texts: what common phrases brought together falls apart, near copies stay
-    second = rows.select("id", F.col("bucket").alias("other"))
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > HOT))
+    in_hot = cut(rows.join(sizes.select("bucket"), "bucket").select("bucket", "id"))
+    # hot buckets are split by every second bucket of their texts: what common phrases brought together
+    # falls apart, near copies stay
+    second = rows.join(in_hot.select("id").distinct(), "id", "left_semi").select("id", F.col("bucket").alias("other"))
     both = F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")
-    split = rows.filter(F.col("size") > HOT).select("bucket", "id").join(second, "id").filter("bucket <> other").select(both, "id").distinct()
-    halves = split.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    split = cut(split.join(halves, "bucket"))
-    pairs = pairs.unionByName(_pairs(split.filter(F.col("size") <= HOT).select("bucket", "id"))).distinct()
-    edges = cut(verified(pairs, index, all_texts))
-    hot = split.filter(F.col("size") > HOT).select("bucket", "id")
+    split = in_hot.join(second, "id").filter("bucket <> other").select(both, "id").distinct()
+    halves = split.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > HOT)
+    hot = cut(split.join(halves.select("bucket"), "bucket").select("bucket", "id"))
+    leading = all_texts.join(copies, "id", "left_anti")
+    edges = cut(verified(cut(candidates(leading, index, hot, known)), index, all_texts))
 
     found = cut(_resolve(spark, known, edges, hot, index, all_texts))
     # a row of a class goes with its lead: to what the lead repeats, or else to the lead itself

@@ -49,6 +49,20 @@ def test_against_brute_force(spark):
     assert len(want & got) >= 0.98 * len(want) and got <= want
 
 
+def test_edits_spread_over_the_whole_radius(spark):
+    rng, rows = random.Random(11), []
+    for key in range(0, 300, 2):
+        n = rng.choice([30, 60, 150])
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        edited = list(base)
+        for i in rng.sample(range(n), int(n * rng.choice([0.1, 0.2, 0.3, 0.35, 0.4, 0.45]))):
+            edited[i] = f"v{rng.randrange(3000)}"
+        rows += [(key, " ".join(base), None), (key + 1, " ".join(edited), None)]
+    got = set(map(tuple, H.repeats(spark.createDataFrame(rows, DDL)).collect()))
+    want = brute(rows)
+    assert len(want) > 100 and got == want
+
+
 def test_batches_on_history_equal_one_run(spark):
     rows = made(5)
     df = spark.createDataFrame(rows, DDL)

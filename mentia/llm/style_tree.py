@@ -183,12 +183,13 @@ def _counts(batches: Iterator) -> Iterator:
 def unimportant_nodes(docs: DataFrame) -> DataFrame:
     """(site, nodes array<bigint>): content nodes of low importance by host; those of the corpus under EVERYWHERE.
 
-    A host keeps at most lines-per-page / MIN_SHARE nodes, however many pages it has.
+    A host keeps at most lines-per-page / MIN_SHARE nodes, however many pages it has. Nodes of the corpus are
+    summed over all hosts, also those with one page of the node.
     """
     counts = docs.select("site", "text").mapInPandas(_counts, "site string, node bigint, n bigint").groupBy("site", "node").agg(F.sum("n").alias("n"))
-    counts = cut(counts.filter((F.col("n") >= MIN_PAGES) | (F.col("node") == 0)))
+    counts = cut(counts)
     pages = counts.filter("node = 0").select("site", F.col("n").alias("m"))
-    own = counts.filter("node <> 0").join(pages, "site").filter((F.col("n") >= MIN_SHARE * F.col("m")) & (1 - F.log("n") / F.log(F.greatest("m", F.lit(2))) < IMPORTANCE))
+    own = counts.filter((F.col("n") >= MIN_PAGES) & (F.col("node") != 0)).join(pages, "site").filter((F.col("n") >= MIN_SHARE * F.col("m")) & (1 - F.log("n") / F.log(F.greatest("m", F.lit(2))) < IMPORTANCE))
     total = pages.agg(F.sum("m")).first()[0] or 0
     every = counts.filter("node <> 0").groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).filter((F.col("hosts") >= CORPUS_HOSTS) & (F.col("n") >= CORPUS_SHARE * total))
     return own.groupBy("site").agg(F.collect_list("node").alias("nodes")).unionByName(every.agg(F.collect_list("node").alias("nodes")).select(F.lit(EVERYWHERE).alias("site"), "nodes"))

@@ -92,6 +92,13 @@ def test_extract(spark, monkeypatch, copies):
     assert [i for i in got if got[i].residue] == [60] and got[60].lines == [] and got[61].lines == []
 
 
+def test_corpus_nodes_of_small_hosts(spark):
+    notice = "We and our partners keep cookies on your device. Accept or refuse them."
+    rows = [(i, f"https://host{i}.example/a", f"{notice}\nThe {chr(97 + i % 26) * 4} firm explained at length what happened to its {chr(98 + i // 26) * 5} customers number {i}.") for i in range(60)]
+    docs = S.documents_of(spark.createDataFrame(rows, "norm_id long, canonical_url string, text string"), "t", "norm_id", "canonical_url", "text")
+    assert {tuple(r.lines) for r in S.extract(docs).collect()} == {(2,)}
+
+
 def test_extract_of_nothing(spark):
     docs = S.documents_of(corpus(spark).limit(0), "t", "norm_id", "canonical_url", "text", "title")
     assert S.extract(docs).count() == 0

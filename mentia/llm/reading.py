@@ -83,13 +83,14 @@ def features(text: str, rarity: np.ndarray, known: dict[str, tuple]) -> list[flo
     lengths, surprise, joins = (np.array(x, float) for x in zip(*facts)) if facts else (np.zeros(1),) * 3
     sentences = np.array([k for part in _SENTENCE.split(text) if (k := len(_WORD.findall(part)))] or [0], float)
     kinds = Counter(words)
-    window = min(n, 60)
+    # whole texts: windows of 60 words, the last one ends at the last word
+    windows = [words[i : i + 60] for i in (*range(0, n - 60, 60), max(n - 60, 0))]
     return [
         math.log1p(n),
         lengths.mean(),
         (lengths >= 9).mean(),
         (lengths >= 12).mean(),
-        len(set(words[:window])) / window if n < 120 else float(np.mean([len(set(words[i : i + 60])) / 60 for i in range(0, n - 59, 60)])),
+        float(np.mean([len(set(w)) / min(n, 60) for w in windows])),
         surprise.mean(),
         (surprise > 9).mean(),
         surprise.std(),

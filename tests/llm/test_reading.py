@@ -29,6 +29,13 @@ def test_held_out_accuracy(root):
     assert (R.fit(x[~held], y[~held]).bands(x[held]) == y[held]).mean() > 0.88
 
 
+def test_diversity_reads_to_the_last_word():
+    first, letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)], np.zeros(R.CELLS)
+    of = lambda words: R.features(" ".join(words), letters, {})[4]
+    assert of(first[:30]) == of(first) == of(first * 2) == 1
+    assert of(first + ["same"] * 59) < 1 and of(first * 2 + ["same"] * 59) < 1
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, "12 ...", "c"), (4, "a" * 20_000, "c"), (4, "Ten letters here.", "c")], "doc_id long, text string, band string")
     labels = spark.createDataFrame([(4, 1), (9, 2), (4, 7)], "doc_id long, band long")

@@ -253,12 +253,13 @@ def languages_of(model: LanguageModel, numbers: list[int], texts: list[str]) ->
     return LANGUAGES[main], float(weights[main] / max(weights.sum(), 1)), foreign
 
 
-def foreign_and_main(pages: DataFrame, labelled: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+def foreign_and_main(pages: DataFrame, labelled: DataFrame, model: LanguageModel | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(record_table, record_id, residue, lines, main, share, foreign) of documents_of rows.
 
     ``main`` is the language of most of an article's text and ``share`` its part of it; ``foreign`` has
     the lines of other languages with their confidence. Where residue stands in place of the article,
-    or there is none, ``main`` is null. ``labelled`` has the texts the model is fitted on.
+    or there is none, ``main`` is null. ``labelled`` has the texts the model is fitted on,
+    ``counted`` the documents whose lines are counted, if more than ``pages``.
     """
     from mentia.llm.style_tree import extract
 
@@ -267,7 +268,7 @@ def foreign_and_main(pages: DataFrame, labelled: DataFrame, model: LanguageModel
     def each(numbers: list[int], texts: list[str]) -> tuple:
         return languages_of(shared.value, numbers, texts)
 
-    return extract(pages, each, "main string, share double, foreign array<struct<line_no:int,lang_code:string,confidence:double>>")
+    return extract(pages, each, "main string, share double, foreign array<struct<line_no:int,lang_code:string,confidence:double>>", counted)
 
 
 def wrong_tags(df: DataFrame, tag: str, main: str) -> DataFrame:

@@ -36,7 +36,8 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """record_table, record_id, line_no, lang_code of missing or wrong labels (line 0) and of foreign lines."""
     texts = table(spark, root, "normalized_content")
     pages = style_tree.documents_of(texts, "normalized_content", "norm_id", "canonical_url", "text", "title")
-    judged = cut(language.foreign_and_main(pages, table(spark, root, "documents")).filter("main is not null").select("record_id", "main", "foreign"))
+    # lines are counted over the same pages as in p2 and p3, so articles are the same
+    judged = cut(language.foreign_and_main(pages, table(spark, root, "documents"), counted=_page_documents(spark, root)).filter("main is not null").select("record_id", "main", "foreign"))
     out = None
     for name, key in (("normalized_content", "norm_id"), ("classifications", "class_id")):
         tagged = table(spark, root, name).select(F.col(key).alias("id"), "norm_id", "language_tag") if key != "norm_id" else texts.select(F.col("norm_id").alias("id"), "norm_id", "language_tag")

@@ -213,17 +213,18 @@ def _decide(text: str, title: str | None, site: str, own: set[int], every: set[i
     return numbers, texts, in_place_of_content(texts)
 
 
-def extract(docs: DataFrame, each=None, extra: str = "") -> DataFrame:
+def extract(docs: DataFrame, each=None, extra: str = "", counted: DataFrame | None = None) -> DataFrame:
     """(record_table, record_id, residue, lines array<int>) of documents_of rows, one each.
 
     ``lines`` are the article's, empty where ``residue``; lines are counted from 1. Empty texts have
     none. ``each``, if given, maps (line numbers, texts) of an article to the values of the additional
-    columns ``extra`` (DDL), null where ``residue``.
+    columns ``extra`` (DDL), null where ``residue``. ``counted`` has the rows whose nodes are counted, if
+    they are more than ``docs``.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    nodes = cut(unimportant_nodes(docs))
+    nodes = cut(unimportant_nodes(docs if counted is None else counted))
     # the corpus has at most lines-per-page / CORPUS_SHARE nodes; those of all hosts are counted first
     copies = 8 * (nodes.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= COPY_BYTES
     here = nodes if copies else nodes.filter(F.col("site") == EVERYWHERE)

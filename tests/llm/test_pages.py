@@ -1,6 +1,6 @@
 import pytest
 
-from mentia.llm import pages as P, residue as R, style_tree as S
+from mentia.llm import pages as P, queries as Q, residue as R, style_tree as S
 
 PAGE = """<!doctype html>
 <head>
@@ -99,6 +99,13 @@ def test_corpus_nodes_of_small_hosts(spark):
     assert {tuple(r.lines) for r in S.extract(docs).collect()} == {(2,)}
 
 
+def test_languages_count_the_pages_of_both_tables(spark, root, monkeypatch):
+    counted, count = [], S.unimportant_nodes
+    monkeypatch.setattr(S, "unimportant_nodes", lambda docs: counted.append({r[0] for r in docs.select("record_table").distinct().collect()}) or count(docs))
+    assert {r.record_table for r in Q.p5_found(spark, root).collect()} <= {"normalized_content", "classifications"}
+    assert counted == [{"raw_content", "normalized_content"}]
+
+
 def test_extract_of_nothing(spark):
     docs = S.documents_of(corpus(spark).limit(0), "t", "norm_id", "canonical_url", "text", "title")
     assert S.extract(docs).count() == 0

@@ -82,6 +82,11 @@ def _similar(a: str, b: str) -> bool:
     return bool(a) and P.words(a) == P.words(b)
 
 
+def _set_apart(line: P.Line) -> bool:
+    """Whether a line's kind makes it furniture beside an article."""
+    return line.link or line.style.startswith("noscript") or bool(P.HANDLE.match(line.text))
+
+
 def article_lines(lines: list[P.Line], title: str | None, name: str, own: set[int], every: set[int]) -> list[int]:
     """Numbers of the lines of the article itself; the rules are those of the module's text."""
     n = len(lines)
@@ -94,7 +99,7 @@ def article_lines(lines: list[P.Line], title: str | None, name: str, own: set[in
             headline = i if headline is None else headline
             furniture[i] = False
             continue
-        bad = line.link or P.HANDLE.match(line.text) or line.style.startswith("noscript")
+        bad = _set_apart(line)
         if not bad and any(k in own or k in every for k in node_codes(line, name)):
             # failure messages and the like are met on many pages, but they stand for the article
             bad = not is_residue(line.text)
@@ -209,6 +214,10 @@ def _decide(text: str, title: str | None, site: str, own: set[int], every: set[i
     lines = P.lines_of(text)
     name = P.site_name(site) if site else _named(lines, every)
     numbers = article_lines(lines, title, name, own, every)
+    if not numbers:
+        # with no article beside them, noscript lines, links and handles may stand in its place themselves
+        texts = [line.text for line in lines if line.text and _set_apart(line) and (is_residue(line.text) or not any(k in own or k in every for k in node_codes(line, name)))]
+        return [], [], in_place_of_content(texts)
     texts = [lines[n - 1].text for n in numbers]
     return numbers, texts, in_place_of_content(texts)
 

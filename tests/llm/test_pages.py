@@ -106,6 +106,13 @@ def test_languages_count_the_pages_of_both_tables(spark, root, monkeypatch):
     assert counted == [{"raw_content", "normalized_content"}]
 
 
+def test_noscript_alone_stands_for_the_article():
+    alone = "<html><body>\n<noscript>Please enable JavaScript to view this page.</noscript>\n</body></html>"
+    assert S._decide(alone, None, "", set(), set())[2]
+    assert not S._decide(PAGE + "\n<noscript>Please enable JavaScript to view this page.</noscript>", None, "", set(), set())[2]
+    assert not S._decide('<html><body>\n<a href="/">Home</a>\n</body></html>', None, "", set(), set())[2]
+
+
 def test_extract_of_nothing(spark):
     docs = S.documents_of(corpus(spark).limit(0), "t", "norm_id", "canonical_url", "text", "title")
     assert S.extract(docs).count() == 0

@@ -12,7 +12,6 @@ element, or in plain texts outside the span, that holds the important text.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +27,8 @@ from mentia.llm.residue import in_place_of_content, is_residue
 from mentia.llm.site_lines import site_of
 from mentia.session import cut
 
-#: A content node is unimportant under this importance, from this many pages and share of its host's pages.
-IMPORTANCE, MIN_PAGES, MIN_SHARE = 0.6, 3, 0.005
+#: A content node is unimportant under this importance, from this many pages.
+IMPORTANCE, MIN_PAGES = 0.6, 3
 #: A content node of the whole corpus: share of all pages and least number of hosts.
 CORPUS_SHARE, CORPUS_HOSTS = 0.0015, 3
 #: Bytes of the table of unimportant nodes up to which each executor gets a copy; beyond, it is joined.
@@ -53,9 +52,8 @@ def node_keys(line: P.Line, name: str) -> list[str]:
     return [*keys, mark] if mark else keys
 
 
-#: From this length a leaf is its text without digits: it is too long for a label or a credit.
+#: Codes of leaves under this length are remembered: what a site repeats is mostly short.
 LONG_LEAF = 300
-_DIGITS = re.compile(r"\d+")
 
 
 @lru_cache(maxsize=100_000)
@@ -64,10 +62,10 @@ def _short_codes(text: str, name: str) -> tuple[int, ...]:
 
 
 def node_codes(line: P.Line, name: str) -> tuple[int, ...]:
-    """Codes of a leaf's content nodes. What a site repeats is short and remembered."""
+    """Codes of a leaf's content nodes."""
     if len(line.text) < LONG_LEAF:
         return _short_codes(line.text, name) if line.text else ()
-    return (code("w:" + " ".join(_DIGITS.sub("", line.text.lower()).split())),)
+    return tuple(code(k) for k in node_keys(line, name))
 
 
 def importance(n: float, m: float) -> float:
@@ -188,13 +186,13 @@ def _counts(batches: Iterator) -> Iterator:
 def unimportant_nodes(docs: DataFrame) -> DataFrame:
     """(site, nodes array<bigint>): content nodes of low importance by host; those of the corpus under EVERYWHERE.
 
-    A host keeps at most lines-per-page / MIN_SHARE nodes, however many pages it has. Nodes of the corpus are
-    summed over all hosts, also those with one page of the node.
+    A host of m pages keeps at most lines-per-page * m^0.6 nodes. Nodes of the corpus are summed over all hosts,
+    also those with one page of the node.
     """
     counts = docs.select("site", "text").mapInPandas(_counts, "site string, node bigint, n bigint").groupBy("site", "node").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     pages = counts.filter("node = 0").select("site", F.col("n").alias("m"))
-    own = counts.filter((F.col("n") >= MIN_PAGES) & (F.col("node") != 0)).join(pages, "site").filter((F.col("n") >= MIN_SHARE * F.col("m")) & (1 - F.log("n") / F.log(F.greatest("m", F.lit(2))) < IMPORTANCE))
+    own = counts.filter((F.col("n") >= MIN_PAGES) & (F.col("node") != 0)).join(pages, "site").filter(1 - F.log("n") / F.log(F.greatest("m", F.lit(2))) < IMPORTANCE)
     total = pages.agg(F.sum("m")).first()[0] or 0
     every = counts.filter("node <> 0").groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).filter((F.col("hosts") >= CORPUS_HOSTS) & (F.col("n") >= CORPUS_SHARE * total))
     return own.groupBy("site").agg(F.collect_list("node").alias("nodes")).unionByName(every.agg(F.collect_list("node").alias("nodes")).select(F.lit(EVERYWHERE).alias("site"), "nodes"))

@@ -113,6 +113,17 @@ def test_noscript_alone_stands_for_the_article():
     assert not S._decide('<html><body>\n<a href="/">Home</a>\n</body></html>', None, "", set(), set())[2]
 
 
+def test_long_notices_differ_by_site_and_month_only():
+    codes = [set(S.node_codes(P.Line(0, f"{name} keeps cookies since {month} 2024. " + "We ask for your consent to it. " * 12, "", (), False, False), name.lower())) for name, month in (("Acmenews", "May"), ("Otherpost", "June"))]
+    assert codes[0] == codes[1] != set()
+
+
+def test_nodes_of_a_large_host_follow_importance_alone(spark):
+    docs = spark.range(8000).selectExpr("'big.example' as site", "if(id < 38, 'Read our rules of the house', '') as text")
+    got = {r.site: len(r.nodes) for r in S.unimportant_nodes(docs).collect()}
+    assert S.importance(38, 8000) < S.IMPORTANCE and got["big.example"] >= 1
+
+
 def test_extract_of_nothing(spark):
     docs = S.documents_of(corpus(spark).limit(0), "t", "norm_id", "canonical_url", "text", "title")
     assert S.extract(docs).count() == 0

@@ -3,10 +3,10 @@
 The documents of a host are merged into one tree whose leaves are lines. A leaf belongs to a
 presentation node, its element and class, and to content nodes, its masked words. With m pages of a
 host, a content node met on n of them has the entropy log n / log m over pages and the importance
-1 - log_m n: what stands on one page counts 1, what every page repeats 0. A presentation node has the
-mean importance of its leaves. Content nodes of low importance are kept by host; a page then loses the
-leaves that meet one, the branches whose presentation is unimportant, and what lies outside the
-element, or in plain texts outside the span, that holds the important text.
+1 - log_m n: what stands on one page counts 1, what every page repeats 0. Content nodes of low importance
+are kept by host; a page then loses the leaves that meet one, and what lies outside the element, or in
+plain texts outside the span, that holds the important text. Presentation nodes get no importance and no
+branch is removed for its own: what differs by page is left to the rules on single lines.
 """
 
 from __future__ import annotations

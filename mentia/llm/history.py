@@ -2,40 +2,33 @@
 
 The distance of two texts is 1 - LCS / length of the longer, over their words; LCS is the longest common
 subsequence. Both it and the bag distance 1 - |common words| / length, which is never larger, are
-metrics. The index keeps for each text its bag distances to fixed pivots: where they differ by more than
-the radius 0.4 for any pivot, the triangle inequality rules the pair out. Texts of this length lie at
-nearly the same distance from any pivot, so pivots alone leave nearly all pairs (figures in the README);
-pairs are therefore met by their common words, counted block by block over inverted lists, which leaves
-out no pair within the radius; then pruned by pivots, then verified by the exact distance. Only groups of
-near copies, found by the bands of a MinHash signature that is stored beside the distances, are compared
-with their leaders instead. Pairs within history are never compared again: a batch is compared with
-itself and with history, and its accepted rows are appended.
+metrics. The index keeps the texts in blocks, range-partitioned by their nearest pivot and by length, with
+the bag distance of each text to every pivot. A block of a batch meets a stored block only where the
+ranges of all their pivot distances and lengths come within the radius 0.4 of each other, and a pair of
+texts only where their own distances do: the triangle inequality rules out all others. Distances to any
+pivot are nearly alike among texts of this length, so within two blocks the common words of all pairs are
+counted besides, over inverted lists, which leaves out no pair within the radius; what is left is verified
+by the exact distance. Blocks of history are read, never compared with each other and never written
+again: the accepted rows of a batch are appended as blocks of their own.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mentia.session import cut
+from mentia.session import cut, scratch
 
 RADIUS = 0.4
-#: Bands and rows of the signature.
-BANDS, ROWS = 48, 4
 #: Words of a block of texts. Words of more than COMMON of a block's texts are kept as bits, others as lists of texts.
 BLOCK, COMMON = 1_500_000, 0.15
-#: Texts under SHORT words have bands of single words too, over LONG words of three-word runs only.
-SHORT, LONG = 24, 10
-#: A bucket of more texts is split, and what is still larger is compared with its leaders only, round by round.
-HOT = 64
-ROUNDS = 12
-PIVOTS = 8
+#: Earlier neighbours that are verified of a text before its state is looked at; where more could follow, it is asked again.
+FIRST = 16
 # The pivots, common words of each language in the bag of an average text.
 PIVOT_WORDS = (
     "the of a in to and on for with by that said at from after as was is it my",
@@ -44,7 +37,12 @@ PIVOT_WORDS = (
     "le la de les et des un une en du pour que à dans sur par au il est mon",
     "của và là các cho một những được trong với người có không này đã khi từ đến về tôi",
 )
-INDEX = "id bigint, class bigint, n int, pivots array<float>, bands array<int>"
+INDEX = "id bigint, class bigint, n int, near int, pivots array<float>"
+_PIVOT_BAGS = [{w: words.split().count(w) for w in words.split()} for words in PIVOT_WORDS]
+_PIVOT_SIZES = [len(words.split()) for words in PIVOT_WORDS]
+_PIVOT_ALL = frozenset(w for bag in _PIVOT_BAGS for w in bag)
+#: Distance of the codes of two occurrences of one word.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split_words(text: str) -> list[str]:
@@ -52,296 +50,423 @@ def split_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def lcs_share(a: list[str], b: list[str]) -> float:
-    """Length of the longest common subsequence over that of the longer list; 0 for two empty ones. Bit-parallel."""
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
     if not a or not b:
-        return 0.0
-    at: dict[str, int] = {}
+        return 0
+    at: dict = {}
     for i, word in enumerate(a):
         at[word] = at.get(word, 0) | (1 << i)
     full = (1 << len(a)) - 1
     row = full
     for word in b:
         hit = row & at.get(word, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return (len(a) - row.bit_count()) / max(len(a), len(b))
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
-_RNG = np.random.default_rng(20240607)
-_MUL = _RNG.integers(1, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_PIVOT_BAGS = [Counter(words.split()) for words in PIVOT_WORDS]
-
-
-def bands_of(items: list[str], salt: int) -> list[int]:
-    """One 32-bit bucket a band of the items' MinHash signature."""
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, set(items)), np.uint32)
-    low = (hashes[None, :] * _MUL + _ADD).min(axis=1).reshape(BANDS, ROWS)
-    return [xxhash.xxh32_intdigest(row.tobytes(), seed=salt + band) - (1 << 31) for band, row in enumerate(low)]
+def lcs_share(a: list, b: list) -> float:
+    """Length of the longest common subsequence over that of the longer list; 0 for two empty ones."""
+    return lcs_length(a, b) / max(len(a), len(b), 1)
 
 
 def pivot_distances(words: list[str]) -> list[float]:
     """Bag distance to each pivot: 1 less the common words over the length of the longer of the two."""
-    bag, n = Counter(words), len(words)
-    return [1 - sum(min(bag[w], k) for w, k in pivot.items() if w in bag) / max(n, sum(pivot.values())) for pivot in _PIVOT_BAGS]
+    met: dict[str, int] = {}
+    for w in words:
+        if w in _PIVOT_ALL:
+            met[w] = met.get(w, 0) + 1
+    return [1 - sum(min(met[w], k) for w, k in bag.items() if w in met) / max(len(words), size) for bag, size in zip(_PIVOT_BAGS, _PIVOT_SIZES)]
 
 
 def _index(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        out: dict[str, list] = {"id": batch.column(0).to_pylist(), "class": [], "n": [], "pivots": [], "bands": []}
+        out: dict[str, list] = {"id": batch.column(0).to_pylist(), "class": [], "n": [], "near": [], "pivots": []}
         for text in batch.column(1).to_pylist():
             words = split_words(text)
+            pivots = pivot_distances(words)
             out["class"].append(xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63))
             out["n"].append(len(words))
-            out["pivots"].append(pivot_distances(words))
-            bands: list[int] = []
-            if len(words) >= LONG:
-                bands += bands_of([" ".join(words[i : i + 3]) for i in range(len(words) - 2)], 0)
-            if 0 < len(words) < SHORT:
-                bands += bands_of(words, 1 << 20)
-            out["bands"].append(bands)
-        arrays = [pa.array(out["id"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["pivots"], pa.list_(pa.float32())), pa.array(out["bands"], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, list(out))
+            out["near"].append(min(range(len(pivots)), key=pivots.__getitem__))
+            out["pivots"].append(pivots)
+        yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["near"], pa.int32()), pa.array(out["pivots"], pa.list_(pa.float32()))], list(out))
 
 
 def index_rows(df: DataFrame, key: str = "cand_id", text: str = "text") -> DataFrame:
-    """INDEX rows of the texts that aren't null: what history keeps of each, besides the text."""
+    """INDEX rows of the texts that aren't null: their class of equal words, length and pivot distances."""
     return df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_index, INDEX)
 
 
-def _verify(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        share = pa.array([lcs_share(split_words(x), split_words(y)) for x, y in zip(a, b)], pa.float64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), share], ["a", "b", "share"])
-
-
-def verified(pairs: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, share) of the (a, b) pairs within the radius: pruned by length and pivots, then exact."""
-    side = lambda x: index.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pivots").alias(f"p{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    longer = F.greatest("na", "nb")
-    # the bag distance to a pivot is measured against the longer of the two, so lengths enter the bound
-    near = F.least("na", "nb") >= (1 - RADIUS) * longer
-    gap = F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)))
-    met = met.filter(near & (gap <= RADIUS + 1e-6)).select("a", "b")
-    with_texts = met.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    return with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint, share double").filter(F.col("share") >= 1 - RADIUS)
+# ---------------------------------------------------------------- blocks
 
 
-def tokens_of(words: list[str]) -> np.ndarray:
-    """One 32-bit code for each occurrence of a word in the bag: equal bags have equal codes. Ascending, each once."""
-    codes = np.sort(np.fromiter(map(_word_code, words), np.uint32, len(words)))
-    at = np.arange(len(codes))
-    first = np.maximum.accumulate(np.where(np.r_[True, codes[1:] != codes[:-1]], at, 0))
-    return np.unique(codes + (at - first).astype(np.uint32) * np.uint32(0x9E3779B1))
+BLOCKS = "block bigint, near int, length int, low int, high int, least array<float>, most array<float>, ids binary, sizes binary, pivots binary, words binary, places binary, seq binary"
+HEADER = ["folder", "block", "near", "length", "low", "high", "least", "most"]
 
 
 @lru_cache(maxsize=300_000)
 def _word_code(word: str) -> int:
-    return xxhash.xxh32_intdigest(word)
-
-
-BLOCKS = "known boolean, block int, low int, high int, ids binary, sizes binary, kinds binary, tokens binary, hot array<array<bigint>>"
+    return xxhash.xxh64_intdigest(word)
 
 
 def _block(key, rows):
-    """One row with the bags of a block's texts: ids, words, distinct codes and codes of each."""
+    """One row with the texts of a block, by id: a word is a code of 64 bits, kept once, and its number in each text."""
     import pyarrow as pa
 
-    sizes, tokens = [], []
+    rows = rows.sort_by("id")
+    sizes, flat, places = [], [], []
     for text in rows.column("text").to_pylist():
         words = split_words(text)
         sizes.append(len(words))
-        tokens.append(tokens_of(words))
-    kinds = np.array([len(t) for t in tokens], np.int32)
-    packed = [rows.column("id").to_numpy().astype(np.int64), np.array(sizes, np.int32), kinds, np.concatenate(tokens)]
-    head = [pa.array([key[0].as_py()], pa.bool_()), *[pa.array([x], pa.int32()) for x in (key[1].as_py(), min(sizes), max(sizes))]]
-    hot = pa.array([[x or [] for x in rows.column("hot").to_pylist()]], pa.list_(pa.list_(pa.int64())))
-    names = [c.split()[0] for c in BLOCKS.split(", ")]
-    return pa.Table.from_arrays([*head, *[pa.array([x.tobytes()], pa.binary()) for x in packed], hot], names)
-
-
-def common_words(a: tuple, b: tuple, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(j, texts i of block a) of the texts j of block b whose bags may have 1 - RADIUS of the longer text in common.
-
-    A block is (words, distinct codes, codes) of its texts. None within the radius is missing: codes that
-    two words share only raise the count. Of one block (``same``) i < j.
+        codes = np.fromiter(map(_word_code, words), np.uint64, len(words))
+        order = np.argsort(codes, kind="stable")
+        ordered, at = codes[order], np.arange(len(codes))
+        first = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], at, 0))
+        place = np.empty(len(codes), np.uint16)
+        place[order] = np.minimum(at - first, 65535)
+        flat.append(codes)
+        places.append(place)
+    codes, place = np.concatenate(flat), np.concatenate(places)
+    # an occurrence has a code of its own, so that equal bags have equal sets of codes
+    tokens, first, seq = np.unique(codes + place * _STEP, return_index=True, return_inverse=True)
+    pivots = np.array(rows.column("pivots").to_pylist(), np.float32)
+    one = lambda x, kind: pa.array([x], kind)
+    ends = [one(x.tolist(), pa.list_(pa.float32())) for x in (pivots.min(0), pivots.max(0))]
+    packed = [rows.column("id").to_numpy().astype(np.int64), np.array(sizes, np.int32), pivots, codes[first], place[first], seq.astype(np.int32)]
+    head = [one(key[0].as_py(), pa.int64()), one(rows.column("near")[0].as_py(), pa.int32()), one(rows.column("length")[0].as_py(), pa.int32()), one(min(sizes), pa.int32()), one(max(sizes), pa.int32())]
+    return pa.Table.from_arrays([*head, *ends, *[one(x.tobytes(), pa.binary()) for x in packed]], [c.split()[0] for c in BLOCKS.split(", ")])
+
+
+def write_blocks(rows: DataFrame, folder: str) -> bool:
+    """Store rows (id, text, n, near, pivots) with words as blocks below ``folder``; whether there were any."""
+    width = -math.log(1 - RADIUS)
+    rows = rows.filter("n > 0").withColumn("length", F.floor(F.log("n") / width).cast("int"))
+    words = {(r.near, r.length): r.words for r in rows.groupBy("near", "length").agg(F.sum("n").alias("words")).collect()}
+    if not words:
+        return False
+    spread = F.lit(0)
+    for (near, length), w in words.items():
+        spread = F.when((F.col("near") == near) & (F.col("length") == length), F.pmod(F.xxhash64("id"), F.lit(math.ceil(w / BLOCK)))).otherwise(spread)
+    block = ((F.col("near") * 256 + F.col("length")).cast("bigint") * (1 << 32) + spread).alias("block")
+    rows.select(block, "id", "near", "length", "pivots", "text").groupBy("block").applyInArrow(_block, BLOCKS).withColumn("at", F.col("block")).write.option("compression", "zstd").partitionBy("at").parquet(folder)
+    return True
+
+
+def _headers(spark: SparkSession, folders: list[str]) -> DataFrame:
+    out = None
+    for folder in folders:
+        rows = spark.read.parquet(folder).withColumn("folder", F.lit(folder)).select(*HEADER)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+class _Block:
+    """A stored block, as read by a task."""
+
+    def __init__(self, folder: str, block: int):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        uri = folder.replace("s3a://", "s3://", 1).replace("file:/", "file:///", 1) if not folder.startswith("file://") else folder
+        system, path = fs.FileSystem.from_uri(uri)
+        row = pq.ParquetDataset(f"{path}/at={block}", filesystem=system, partitioning=None).read(columns=["ids", "sizes", "pivots", "words", "places", "seq"]).to_pylist()[0]
+        take = lambda c, kind: np.frombuffer(row[c], kind)
+        self.ids, self.sizes, self.words, self.seq = take("ids", np.int64), take("sizes", np.int32), take("words", np.uint64), take("seq", np.int32)
+        self.pivots = take("pivots", np.float32).reshape(len(self.ids), -1)
+        self.tokens = self.words + take("places", np.uint16) * _STEP
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.need = np.ceil((1 - RADIUS) * self.sizes - 1e-6).astype(np.int64)
+
+    @property
+    def lists(self):
+        """(texts by token, starts of the tokens' lists, bit of each token or -1, bits of each text, number of bits)."""
+        if not hasattr(self, "_lists"):
+            owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+            order = np.argsort(self.seq, kind="stable")
+            start = np.concatenate([[0], np.cumsum(np.bincount(self.seq, minlength=len(self.tokens)))])
+            often = np.flatnonzero(np.diff(start) > COMMON * len(self.ids))
+            bit = np.full(len(self.tokens), -1)
+            bit[often] = np.arange(len(often))
+            self._lists = owner[order], start, bit, *self.bits(bit[self.seq], len(often))
+        return self._lists
+
+    def bits(self, bit: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x words of 64 bits, number of bits of each text), given the bit of each place or -1."""
+        out = np.zeros((len(self.ids), count // 64 + 1), np.uint64)
+        has = bit >= 0
+        owner = np.repeat(np.arange(len(self.ids)), self.sizes)[has]
+        np.bitwise_or.at(out, (owner, bit[has] >> 6), np.uint64(1) << (bit[has] & 63).astype(np.uint64))
+        return out, np.bitwise_count(out).sum(1, dtype=np.int64)
+
+    def text(self, i: int) -> list[int]:
+        """Word codes of a text in order."""
+        return self.words[self.seq[self.starts[i] : self.starts[i + 1]]].tolist()
+
+
+def common_words(a: _Block, b: _Block) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, texts i of ``a``) of the texts j of ``b`` that have 1 - RADIUS of the longer text's words in common with them.
+
+    None within the radius is missing, whatever the words: the count is that of the common bag.
     """
-    (n_a, kinds_a, codes_a), (n_b, kinds_b, codes_b) = a, b
-    order = np.argsort(codes_a, kind="stable")
-    lists = np.repeat(np.arange(len(n_a)), kinds_a)[order]
-    codes, start = np.unique(codes_a[order], return_index=True)
-    start = np.append(start, len(lists))
-    often = np.flatnonzero(np.diff(start) > COMMON * len(n_a))
-    bit = np.full(len(codes), -1)
-    bit[often] = np.arange(len(often))
-    bits_a, bits_b = (np.zeros((len(n), len(often) // 64 + 1), np.uint64) for n in (n_a, n_b))
-    for k, c in enumerate(often):
-        bits_a[lists[start[c] : start[c + 1]], k >> 6] |= np.uint64(1 << (k & 63))
-    at = np.minimum(np.searchsorted(codes, codes_b), max(len(codes) - 1, 0))
-    owner = np.repeat(np.arange(len(n_b)), kinds_b)
-    met = codes[at] == codes_b
-    is_bit = met & (bit[at] >= 0)
-    k = bit[at[is_bit]]
-    np.bitwise_or.at(bits_b, (owner[is_bit], k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
-    often_a, often_b = (np.bitwise_count(bits).sum(1, dtype=np.int64) for bits in (bits_a, bits_b))
-    is_list = met & (bit[at] < 0)
-    at, ends = at[is_list], np.searchsorted(owner[is_list], np.arange(len(n_b) + 1))
-    lo, hi = start[at].tolist(), start[at + 1].tolist()
-    lost_a, lost_b = n_a - kinds_a, n_b - kinds_b
-    for j in range(len(n_b)):
-        parts = [lists[x:y] for x, y in zip(lo[ends[j] : ends[j + 1]], hi[ends[j] : ends[j + 1]])]
-        count = np.bincount(np.concatenate(parts), minlength=len(n_a)) if parts else np.zeros(len(n_a), np.int64)
-        need = np.ceil((1 - RADIUS) * np.maximum(n_a, n_b[j]) - 1e-6) - np.minimum(lost_a, lost_b[j])
+    at = np.minimum(np.searchsorted(a.tokens, b.tokens), len(a.tokens) - 1)
+    met = a.tokens[at] == b.tokens
+    # a text has no more words in common with any text of a than a has at all
+    known = np.add.reduceat(met[b.seq].astype(np.int64), b.starts[:-1])
+    open_b = np.flatnonzero(known >= np.maximum(b.need, a.need.min()))
+    if not len(open_b):
+        return
+    lists, start, bit, bits_a, often_a = a.lists
+    bits_b, often_b = b.bits(np.where(met, bit[at], -1)[b.seq], int(bit.max()) + 1)
+    for j in open_b.tolist():
+        mine = b.seq[b.starts[j] : b.starts[j + 1]]
+        mine = at[mine[met[mine]]]
+        mine = mine[bit[mine] < 0]
+        parts = [lists[x:y] for x, y in zip(start[mine].tolist(), start[mine + 1].tolist())]
+        count = np.bincount(np.concatenate(parts), minlength=len(a.ids)) if parts else np.zeros(len(a.ids), np.int64)
+        need = np.maximum(a.need, b.need[j])
         i = np.flatnonzero(count + np.minimum(often_a, often_b[j]) >= need)
-        if same:
-            i = i[i < j]
         i = i[count[i] + np.bitwise_count(bits_a[i] & bits_b[j]).sum(1, dtype=np.int64) >= need[i]]
         if len(i):
-            yield j, i
+            yield j, i[np.abs(a.pivots[i] - b.pivots[j]).max(1) <= RADIUS + 1e-6]
+
+
+def _meet(first: int | None, any_order: bool):
+    """Task: neighbours within two blocks. ``first`` bounds how many each text gets before ``more`` is set."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[tuple, _Block] = {}
+
+        def of(folder: str, block: int) -> _Block:
+            if (folder, block) not in held:
+                while len(held) > 1:
+                    held.pop(next(iter(held)))
+                held[folder, block] = _Block(folder, block)
+            return held[folder, block]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = of(row["a_folder"], row["a_block"]), of(row["b_folder"], row["b_block"])
+                own, same = row["own"], row["own"] and row["a_block"] == row["b_block"]
+                dropped = np.isin(a.ids, np.array(row["dropped"] or [], np.int64))
+                got_a, more_a, more_b = np.zeros(len(a.ids), np.int64), np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
+                texts: dict[int, list] = {}
+                found = []
+                for j, near in common_words(a, b):
+                    near = near[~dropped[near] & (a.ids[near] != b.ids[j])]
+                    mine = None
+                    before = near[a.ids[near] < b.ids[j]] if not any_order else near
+                    met = 0
+                    for i in before.tolist():
+                        if first is not None and met >= first:
+                            more_b[j] = True
+                            break
+                        mine = mine or b.text(j)
+                        share = lcs_share(texts.get(i) or texts.setdefault(i, a.text(i)), mine)
+                        if share >= 1 - RADIUS:
+                            met += 1
+                            found.append((int(b.ids[j]), int(a.ids[i]), share, False))
+                    # of two blocks of the batch, each has rows before some of the other's; rows come by id
+                    after = near[a.ids[near] > b.ids[j]] if own and not same else near[:0]
+                    full = got_a[after] >= first if first is not None else np.zeros(len(after), bool)
+                    more_a[after[full]] = True
+                    for i in after[~full].tolist():
+                        mine = mine or b.text(j)
+                        share = lcs_share(texts.get(i) or texts.setdefault(i, a.text(i)), mine)
+                        if share >= 1 - RADIUS:
+                            got_a[i] += 1
+                            found.append((int(a.ids[i]), int(b.ids[j]), share, False))
+                    if len(texts) > 4000:
+                        texts.clear()
+                found += [(int(x), None, None, True) for x in (*a.ids[more_a], *b.ids[more_b])]
+                if found:
+                    x = list(zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.float64()), pa.array(x[3], pa.bool_())], ["id", "other", "share", "more"])
+
+    return run
+
+
+def neighbours(spark: SparkSession, asked: str, stores: list[str], own: bool = False, dropped: DataFrame | None = None, first: int | None = None, any_order: bool = False) -> DataFrame:
+    """(id, other, share, more) of the texts in the blocks of ``asked``: their neighbours in the blocks of ``stores``.
+
+    ``own`` adds those within ``asked`` itself. Only neighbours of a smaller id count, but with ``any_order``.
+    With ``first``, each pair of blocks verifies no more than so many neighbours of a text, the smallest ids, and marks
+    the text by a row with ``more`` where others could follow. ``dropped`` has DROPPED rows of texts in the stores to leave out.
+    """
+    side = lambda s, folders: _headers(spark, folders).select(*[F.col(c).alias(f"{s}_{c}") for c in HEADER])
+    b = side("b", [asked])
+    folders = [*stores, *([asked] if own else [])]
+    reach = lambda low, high: (F.col(high) >= (1 - RADIUS) * F.col(low) - 1e-6)
+    # an equi-join over length classes; beyond the next class the shorter text is too short
+    pairs = side("a", folders).withColumn("at", F.col("a_length")).join(b.withColumn("at", F.explode(F.array(F.col("b_length") - 1, F.col("b_length"), F.col("b_length") + 1))), "at")
+    is_own = F.col("a_folder") == F.col("b_folder")
+    apart = F.exists(F.zip_with(F.arrays_zip("a_least", "a_most"), F.arrays_zip("b_least", "b_most"), lambda x, y: (x["a_least"] - y["b_most"] > RADIUS + 1e-6) | (y["b_least"] - x["a_most"] > RADIUS + 1e-6)), lambda x: x)
+    pairs = pairs.filter(reach("a_low", "b_high") & reach("b_low", "a_high") & ~apart & (~is_own | (F.col("a_block") <= F.col("b_block"))))
+    gone = (dropped if dropped is not None else spark.createDataFrame([], DROPPED)).select(F.col("folder").alias("a_folder"), F.col("block").alias("a_block"), F.col("ids").alias("dropped"))
+    pairs = cut(pairs.select("a_folder", "a_block", "b_folder", "b_block", is_own.alias("own"), (F.col("a_near") == F.col("b_near")).alias("like")))
+    n = pairs.count()
+    # one pair of blocks is a task's work, so that a lost one is cheap to do again; like blocks, the long ones, first
+    tasks = max(1, min(n, 4096))
+    met = pairs.join(gone, ["a_folder", "a_block"], "left").repartition(tasks, "like", "a_folder", "a_block", "b_folder", "b_block")
+    return met.select("a_folder", "a_block", "b_folder", "b_block", "own", "dropped").mapInArrow(_meet(first, any_order), "id bigint, other bigint, share double, more boolean")
 
 
-def _meet(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+# ---------------------------------------------------------------- what was accepted
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            sides = {s: [np.frombuffer(row[f"{s}_{c}"], t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("kinds", np.int32), ("tokens", np.uint32))] for s in "ab"}
-            hot = {s: [frozenset(x) for x in row[f"{s}_hot"]] for s in "ab"}
-            out_a, out_b = [], []
-            for j, found in common_words(tuple(sides["a"][1:]), tuple(sides["b"][1:]), row["same"]):
-                if hot["b"][j]:
-                    # near copies of a hot bucket are compared with its leaders
-                    found = np.array([i for i in found if hot["a"][i].isdisjoint(hot["b"][j])], np.int64)
-                x, y = sides["a"][0][found], sides["b"][0][j]
-                out_a.append(np.minimum(x, y))
-                out_b.append(np.maximum(x, y))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-
-def candidates(texts: DataFrame, index: DataFrame, hot: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of ``texts`` whose words may be within the radius, but pairs of one hot bucket and of two known texts.
-
-    Texts are put in blocks by length, each length class as wide as the radius allows, and every block meets
-    those of its own and the next class. Work grows with the square of the texts.
+
+DROPPED = "folder string, block bigint, ids array<bigint>"
+
+
+class Accepted:
+    """What was accepted so far, below ``path`` in a folder that all executors share.
+
+    A batch adds its blocks, the ids in them that repeat something, its classes and its hashes, and counts from the
+    moment its mark exists; marks are created without overwriting, so that of two runs of one batch one is refused.
     """
-    width = -math.log(1 - RADIUS)
-    by_length = index.select("id", "n", F.floor(F.log("n") / width).cast("int").alias("length")).filter("n > 0")
-    words = {r.length: r.words for r in by_length.groupBy("length").agg(F.sum("n").alias("words")).collect()}
-    if not words:
-        return texts.sparkSession.createDataFrame([], "a bigint, b bigint")
-    parts = F.create_map(*[F.lit(x) for length, w in words.items() for x in (length, math.ceil(w / BLOCK))])
-    # at most 2^16 blocks a class
-    block = (F.col("length") * 65536 + F.pmod(F.xxhash64("id"), parts[F.col("length")])).cast("int")
-    rows = texts.join(by_length.select("id", block.alias("block")), "id").join(hot.groupBy("id").agg(F.collect_set("bucket").alias("hot")), "id", "left")
-    rows = rows.join(known.withColumn("known", F.lit(True)), "id", "left").select(F.coalesce("known", F.lit(False)).alias("known"), "block", "id", "text", "hot")
-    blocks = cut(rows.groupBy("known", "block").applyInArrow(_block, BLOCKS))
-    side = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns])
-    order = lambda s: F.struct(f"{s}_known", f"{s}_block")
-    reach = (F.col("a_high") >= (1 - RADIUS) * F.col("b_low") - 1e-6) & (F.col("b_high") >= (1 - RADIUS) * F.col("a_low") - 1e-6)
-    pairs = side("a").hint("shuffle_replicate_nl").join(side("b"), (order("a") <= order("b")) & ~(F.col("a_known") & F.col("b_known")) & reach)
-    return pairs.withColumn("same", order("a") == order("b")).mapInArrow(_meet, "a bigint, b bigint")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, once for each bucket that two ids share. Buckets are small."""
-    return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b")
-
-
-def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_hash: str = "content_hash", history: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or scratch(spark, "accepted")).rstrip("/")
+        self._Path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._Path(self.path))
+
+    def parts(self) -> list[str]:
+        """Folders of the batches accepted, in order."""
+        marks = sorted(s.getPath().getName() for s in self._fs.listStatus(self._Path(self.path)) if s.getPath().getName().startswith("mark-"))
+        return [self.spark.read.text(f"{self.path}/{m}").first()[0] for m in marks]
+
+    def table(self, name: str, ddl: str) -> DataFrame:
+        found = [f"{p}/{name}" for p in self.parts()]
+        return self.spark.read.schema(ddl).parquet(*found) if found else self.spark.createDataFrame([], ddl)
+
+    def blocks(self) -> list[str]:
+        return [f"{p}/blocks" for p in self.parts() if self._fs.exists(self._Path(f"{p}/blocks"))]
+
+    def commit(self, part: str, number: int) -> None:
+        out = self._fs.create(self._Path(f"{self.path}/mark-{number:08d}"), False)
+        out.write(bytearray(part.encode()))
+        out.close()
+
+    def check(self, batch: DataFrame, key: str = "cand_id", text: str = "text", content_hash: str = "content_hash") -> DataFrame:
+        """``repeats`` of a batch whose keys are all larger than those accepted before; what it accepts is added."""
+        done = self.parts()
+        part = f"{scratch(self.spark, 'batch')}"
+        found = _check(batch, key, text, content_hash, self, part)
+        rows = batch.select(F.col(key).cast("bigint").alias("id"), F.trim(content_hash).alias("content_hash")).filter("content_hash <> ''")
+        rows.join(found.select(F.col(key).alias("id")), "id", "left_anti").write.parquet(f"{part}/hashes")
+        self.commit(part, len(done))
+        return found
+
+
+def repeats(df: DataFrame, key: str = "cand_id", text: str = "text", content_hash: str = "content_hash") -> DataFrame:
     """(accepted_id, cand_id): each row of ``df`` that repeats something accepted, with what it repeats.
 
-    ``df`` is taken in order of ``key``. ``history`` has what was accepted before, all with smaller keys:
-    its index rows, its texts (id, text) and its hashes (id, content_hash). A text repeats an earlier
-    accepted one within the radius; of several the nearest counts, then the earliest. A null text
-    repeats the earliest accepted row of the same hash; null and blank hashes repeat nothing. Empty
-    texts repeat nothing and are accepted. Rows of one text form one class, compared once.
+    ``df`` is taken in order of ``key``, which is unique. A text repeats an earlier accepted one within the
+    radius; of several the nearest counts, then the earliest. A row is accepted only once all its earlier
+    neighbours are known to repeat something. A null text repeats the earliest accepted row of the same
+    hash; null and blank hashes repeat nothing. Empty texts repeat nothing and are accepted. Rows of one
+    text form one class, compared once. An empty table has no repeats; other columns are ignored.
     """
-    spark = df.sparkSession
-    own = cut(index_rows(df, key, text))
+    return Accepted(df.sparkSession).check(df, key, text, content_hash)
+
+
+def _check(df: DataFrame, key: str, text: str, content_hash: str, store: Accepted, part: str) -> DataFrame:
+    spark = store.spark
+    own = cut(index_rows(df, key, text).filter("n > 0"))
+    before = store.table("classes", "id bigint, class bigint").withColumn("here", F.lit(False))
+    # a class is led by its first row
+    leads = own.select("id", "class", F.lit(True).alias("here")).unionByName(before).groupBy("class").agg(F.min(F.struct("id", "here")).alias("lead"))
+    members = cut(own.select("id", "class").join(leads, "class").select("id", "class", F.col("lead.id").alias("lead"), F.col("lead.here").alias("here")))
+    # later copies are few ids, or many; either way no more than ids travel to leave them out
+    copies = members.filter("id <> lead").select("id")
     texts = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    index, all_texts = own, texts
-    if history:
-        index, all_texts = own.unionByName(history[0]), texts.unionByName(history[1])
-    # a class is led by its first row; accepted history rows lead the classes that they are in
-    leads = index.filter("n > 0").groupBy("class").agg(F.min("id").alias("lead"))
-    members = own.filter("n > 0").select("id", "class").join(leads, "class").select("id", "lead")
-    # later copies of a text are few ids, or many; either way no more than ids travel to leave them out
-    copies = index.filter("n > 0").select("id", "class").join(leads, "class").filter("id <> lead").select("id")
-    known = history[0].select("id") if history else spark.createDataFrame([], "id bigint")
-
-    rows = index.select("id", F.explode("bands").alias("bucket")).join(copies, "id", "left_anti")
-    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > HOT))
-    in_hot = cut(rows.join(sizes.select("bucket"), "bucket").select("bucket", "id"))
-    # hot buckets are split by every second bucket of their texts: what common phrases brought together
-    # falls apart, near copies stay
-    second = rows.join(in_hot.select("id").distinct(), "id", "left_semi").select("id", F.col("bucket").alias("other"))
-    both = F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")
-    split = in_hot.join(second, "id").filter("bucket <> other").select(both, "id").distinct()
-    halves = split.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > HOT)
-    hot = cut(split.join(halves.select("bucket"), "bucket").select("bucket", "id"))
-    leading = all_texts.join(copies, "id", "left_anti")
-    edges = cut(verified(cut(candidates(leading, index, hot, known)), index, all_texts))
-
-    found = cut(_resolve(spark, known, edges, hot, index, all_texts))
-    # a row of a class goes with its lead: to what the lead repeats, or else to the lead itself
-    by_text = members.join(found.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("accepted", "lead").alias("accepted")).filter("id <> accepted")
-    return by_text.unionByName(_by_hash(df, key, text, content_hash, by_text, history)).select(F.col("accepted").alias("accepted_id"), F.col("id").alias(key))
-
-
-def _resolve(spark, known: DataFrame, edges: DataFrame, hot: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, accepted) of the rows that repeat an accepted one, in order of id.
-
-    A row is accepted once no earlier undecided row is linked to it and it leads all its hot buckets;
-    it then takes the undecided rows that are linked to it or near it in its hot buckets. The first
-    undecided row of all can always be decided, so the rounds end.
-    """
-    out = spark.createDataFrame([], "id bigint, accepted bigint, share double")
-    # only rows with an earlier partner can be repeats; those without any are accepted at once
-    waiting = cut(edges.select(F.col("b").alias("id")).unionByName(edges.select(F.col("a").alias("id"))).unionByName(hot.select("id")).distinct())
-    has_hot = not hot.isEmpty()
-    for turn in range(10_000):
-        if waiting.isEmpty():
-            break
-        open_edges = edges.join(waiting.withColumnRenamed("id", "a"), "a", "left_semi").join(waiting.withColumnRenamed("id", "b"), "b", "left_semi")
-        blocked = open_edges.select(F.col("b").alias("id"))
-        if has_hot:
-            open_hot = hot.join(waiting, "id", "left_semi")
-            if turn >= ROUNDS:
-                # leads that take nobody would need a round each: what is left of the hot buckets is linked pair by pair
-                more = _pairs(open_hot).distinct()
-                edges, has_hot = cut(edges.unionByName(verified(more, index, texts)).distinct()), False
-                continue
-            led = open_hot.join(open_hot.groupBy("bucket").agg(F.min("id").alias("lead")), "bucket").filter("id > lead")
-            blocked = blocked.unionByName(led.select("id"))
-        # history is accepted from the start, whatever it is linked to
-        free = waiting.join(blocked.join(known, "id", "left_anti"), "id", "left_anti")
-        accepted = cut(free)
-        taken = open_edges.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share")
-        if has_hot:
-            star = led.select(F.col("lead").alias("a"), F.col("id").alias("b")).join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").distinct()
-            taken = taken.unionByName(verified(star, index, texts).select(F.col("b").alias("id"), F.col("a").alias("accepted"), "share"))
-        best = taken.groupBy("id").agg(F.max(F.struct("share", (-F.col("accepted")).alias("neg"))).alias("best"))
-        taken = cut(best.select("id", (-F.col("best.neg")).alias("accepted"), F.col("best.share").alias("share")).join(known, "id", "left_anti"))
-        out = out.unionByName(taken)
-        waiting = cut(waiting.join(accepted, "id", "left_anti").join(taken, "id", "left_anti"))
-    return out.select("id", "accepted")
-
-
-def _by_hash(df: DataFrame, key: str, text: str, content_hash: str, by_text: DataFrame, history) -> DataFrame:
+    rows = texts.join(own.drop("class"), "id").join(copies, "id", "left_anti")
+
+    folder = f"{part}/blocks"
+    picked, repeated = spark.createDataFrame([], "lead bigint, accepted bigint, share double"), spark.createDataFrame([], "id bigint")
+    if write_blocks(rows, folder):
+        old, gone = store.blocks(), store.table("dropped", DROPPED)
+        states, edges = _states(spark, rows, folder, old, gone, part)
+        repeated = cut(states.filter("s = 2").select("id"))
+        _drop_rows(folder, repeated).write.parquet(f"{part}/dropped")
+        # the nearest accepted one: of rows whose neighbours are all known, of them; rows of which more could follow,
+        # and those with copies that came later, are compared with everything accepted
+        twice = members.filter("id <> lead").select(F.col("lead").alias("id"))
+        open_rows = cut(states.filter("s = 2 and more").select("id").unionByName(repeated.join(twice, "id", "left_semi")).distinct())
+        picked = edges.join(repeated, "id", "left_semi").join(repeated.withColumnRenamed("id", "other"), "other", "left_anti").join(open_rows, "id", "left_anti").select(F.col("id").alias("lead"), F.col("other").alias("accepted"), "share")
+        if not open_rows.isEmpty():
+            write_blocks(rows.join(open_rows, "id", "left_semi"), f"{part}/open")
+            masked = gone.unionByName(spark.read.schema(DROPPED).parquet(f"{part}/dropped"))
+            near = neighbours(spark, f"{part}/open", [*old, folder], dropped=masked, any_order=True)
+            picked = picked.unionByName(near.select(F.col("id").alias("lead"), F.col("other").alias("accepted"), "share"))
+    else:
+        spark.createDataFrame([], DROPPED).write.parquet(f"{part}/dropped")
+    # every row of a class takes the nearest of those accepted before it
+    taken = members.join(repeated.withColumnRenamed("id", "lead"), "lead", "left_semi").join(picked, "lead").filter("accepted < id")
+    taken = taken.groupBy("id").agg(F.max(F.struct("share", (-F.col("accepted")).alias("neg"))).alias("best")).select("id", (-F.col("best.neg")).alias("accepted"))
+    copied = members.filter("id <> lead").join(repeated.withColumnRenamed("id", "lead"), "lead", "left_anti").select("id", F.col("lead").alias("accepted"))
+    by_text = cut(taken.unionByName(copied))
+    members.filter("id = lead").join(repeated, "id", "left_anti").select("id", "class").write.parquet(f"{part}/classes")
+    found = by_text.unionByName(_by_hash(df, key, text, content_hash, by_text, store.table("hashes", "id bigint, content_hash string")))
+    return cut(found.select(F.col("accepted").alias("accepted_id"), F.col("id").alias(key)))
+
+
+def _ids(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.frombuffer(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found)], ["block", "id"])
+
+
+def _drop_rows(folder: str, ids: DataFrame) -> DataFrame:
+    """DROPPED rows of a folder: which of its texts repeat something. At most a block's texts each."""
+    stored = ids.sparkSession.read.parquet(folder).select("block", "ids").mapInArrow(_ids, "block bigint, id bigint")
+    return stored.join(ids, "id").groupBy("block").agg(F.collect_list("id").alias("ids")).select(F.lit(folder).alias("folder"), "block", "ids")
+
+
+def _states(spark: SparkSession, rows: DataFrame, folder: str, old: list[str], gone: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+    """((id, s, more), (id, other, share)) of the rows with an earlier neighbour: s is 1 for accepted, 2 for a repeat."""
+    met = cut(neighbours(spark, folder, old, own=True, dropped=gone, first=FIRST))
+    edges, turn = met.filter("not more").drop("more"), 0
+    states = cut(met.groupBy("id").agg(F.max("more").alias("more")).select("id", F.lit(0).alias("s"), "more"))
+    left = states.count()
+    while left:
+        # rows that are in no state have no earlier neighbour and are accepted, as is all history
+        judged = edges.join(states.select(F.col("id").alias("other"), F.col("s").alias("t")), "other", "left").groupBy("id").agg(F.max(F.coalesce("t", F.lit(1)) == 1).alias("any"), F.min(F.coalesce("t", F.lit(1)) == 2).alias("all"))
+        s = F.when(F.col("s") != 0, F.col("s")).when(F.col("any"), 2).when(F.col("all") & ~F.col("more"), 1).otherwise(0)
+        states = cut(states.join(judged, "id", "left").select("id", s.alias("s"), "more"))
+        open_rows = states.filter("s = 0").select("id")
+        now = open_rows.count()
+        if now == left:
+            # all known neighbours of these repeat something, and there are more: compared with what doesn't
+            turn += 1
+            write_blocks(rows.join(open_rows, "id", "left_semi"), f"{part}/again-{turn}")
+            dropped = cut(gone.unionByName(_drop_rows(folder, states.filter("s = 2").select("id"))))
+            met = cut(neighbours(spark, f"{part}/again-{turn}", [*old, folder], dropped=dropped, first=FIRST))
+            fresh, more = met.filter("not more").drop("more"), met.filter("more").select("id").distinct().withColumn("m", F.lit(True))
+            edges = cut(edges.join(open_rows, "id", "left_anti").unionByName(fresh))
+            # a row whose neighbours all went has none any more, and is accepted by having no edge
+            bare = fresh.select("id").distinct().withColumn("has", F.lit(True))
+            again = states.join(more, "id", "left").join(bare, "id", "left")
+            opened = F.col("s") == 0
+            states = cut(again.select("id", F.when(opened & F.col("has").isNull(), 1).otherwise(F.col("s")).alias("s"), F.when(opened, F.coalesce("m", F.lit(False))).otherwise(F.col("more")).alias("more")))
+            now = states.filter("s = 0").count()
+        left = now
+    return states, edges
+
+
+def _by_hash(df: DataFrame, key: str, text: str, content_hash: str, by_text: DataFrame, before: DataFrame) -> DataFrame:
     """(id, accepted) of the rows with a null text that repeat an accepted row's hash."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.trim(content_hash).alias("h"), F.col(text).isNull().alias("bare")).filter("h <> ''")
     bare = rows.filter("bare").select("id", "h")
-    full = rows.filter("not bare").join(by_text, "id", "left_anti").select("id", "h")
-    if history:
-        full = full.unionByName(history[2].select("id", F.trim("content_hash").alias("h")))
+    full = rows.filter("not bare").join(by_text, "id", "left_anti").select("id", "h").unionByName(before.select("id", F.col("content_hash").alias("h")))
     first = full.groupBy("h").agg(F.min("id").alias("first"))
     first_bare = bare.groupBy("h").agg(F.min("id").alias("first_bare"))
     met = bare.join(first_bare, "h").join(first, "h", "left")
-    return met.select("id", F.when(F.col("first") < F.col("id"), F.col("first")).when(F.col("first_bare") < F.col("id"), F.col("first_bare")).alias("accepted")).filter("accepted is not null")
+    return met.select("id", F.least("first", "first_bare").alias("accepted")).filter("accepted < id")

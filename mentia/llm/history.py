@@ -7,7 +7,7 @@ the bag distance of each text to every pivot. A block of a batch meets a stored
 ranges of all their pivot distances and lengths come within the radius 0.4 of each other, and a pair of
 texts only where their own distances do: the triangle inequality rules out all others. Distances to any
 pivot are nearly alike among texts of this length, so within two blocks the common words of all pairs are
-counted besides, over inverted lists, which leaves out no pair within the radius; what is left is verified
+counted besides, over bits and inverted lists, which leaves out no pair within the radius; what is left is verified
 by the exact distance. Blocks of history are read, never compared with each other and never written
 again: the accepted rows of a batch are appended as blocks of their own.
 """
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mentia.session import cut, scratch
 
 RADIUS = 0.4
-#: Words of a block of texts. Words of more than COMMON of a block's texts are kept as bits, others as lists of texts.
-BLOCK, COMMON = 1_500_000, 0.15
+#: Words of a block of texts. Words of more than COMMON of a block's texts are kept as bits, others as lists of texts;
+#: TOP x 64 bits are looked at first.
+BLOCK, COMMON, TOP = 1_500_000, 0.02, 12
+#: Pairs of blocks a task compares, one after another.
+PAIRS = 4
 #: Earlier neighbours that are verified of a text before its state is looked at; where more could follow, it is asked again.
 FIRST = 16
 # The pivots, common words of each language in the bag of an average text.
@@ -181,25 +184,35 @@ class _Block:
         self.need = np.ceil((1 - RADIUS) * self.sizes - 1e-6).astype(np.int64)
 
     @property
-    def lists(self):
-        """(texts by token, starts of the tokens' lists, bit of each token or -1, bits of each text, number of bits)."""
-        if not hasattr(self, "_lists"):
-            owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-            order = np.argsort(self.seq, kind="stable")
-            start = np.concatenate([[0], np.cumsum(np.bincount(self.seq, minlength=len(self.tokens)))])
-            often = np.flatnonzero(np.diff(start) > COMMON * len(self.ids))
-            bit = np.full(len(self.tokens), -1)
+    def often(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bit of each token or -1, most frequent first; bits of the texts, words of 64 bits by texts; number of other tokens)."""
+        if not hasattr(self, "_often"):
+            met = np.bincount(self.seq, minlength=len(self.tokens))
+            often = np.flatnonzero(met > COMMON * len(self.ids))
+            often = often[np.argsort(-met[often], kind="stable")]
+            bit = np.full(len(self.tokens), -1, np.int32)
             bit[often] = np.arange(len(often))
-            self._lists = owner[order], start, bit, *self.bits(bit[self.seq], len(often))
-        return self._lists
+            self._often = bit, *self.bits(bit[self.seq], len(often))
+        return self._often
 
     def bits(self, bit: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x words of 64 bits, number of bits of each text), given the bit of each place or -1."""
-        out = np.zeros((len(self.ids), count // 64 + 1), np.uint64)
+        """(words of 64 bits by texts, number of places without a bit of each text), given the bit of each place or -1."""
+        size = count // 64 + 1
+        set_ = np.zeros((len(self.ids), size * 64), np.uint8)
         has = bit >= 0
-        owner = np.repeat(np.arange(len(self.ids)), self.sizes)[has]
-        np.bitwise_or.at(out, (owner, bit[has] >> 6), np.uint64(1) << (bit[has] & 63).astype(np.uint64))
-        return out, np.bitwise_count(out).sum(1, dtype=np.int64)
+        owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+        set_[owner[has], bit[has]] = 1
+        packed = np.packbits(set_, axis=1, bitorder="little").view(np.uint64)
+        return np.ascontiguousarray(packed.T), self.sizes - np.bincount(owner[has], minlength=len(self.ids)).astype(np.int32)
+
+    @property
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """(texts by token, starts of the tokens' lists)."""
+        if not hasattr(self, "_lists"):
+            owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+            start = np.concatenate([[0], np.cumsum(np.bincount(self.seq, minlength=len(self.tokens)))])
+            self._lists = owner[np.argsort(self.seq, kind="stable")], start
+        return self._lists
 
     def text(self, i: int) -> list[int]:
         """Word codes of a text in order."""
@@ -218,17 +231,38 @@ def common_words(a: _Block, b: _Block) -> Iterator[tuple[int, np.ndarray]]:
     open_b = np.flatnonzero(known >= np.maximum(b.need, a.need.min()))
     if not len(open_b):
         return
-    lists, start, bit, bits_a, often_a = a.lists
-    bits_b, often_b = b.bits(np.where(met, bit[at], -1)[b.seq], int(bit.max()) + 1)
+    bit, bits_a, rest_a = a.often
+    here = np.where(met, at, -1)[b.seq]
+    bits_b, _ = b.bits(np.where(here >= 0, bit[here], -1), int(bit.max()) + 1)
+    # places of b's tokens that a has too, without those that are bits
+    rest_b = known - np.bitwise_count(bits_b).sum(0, dtype=np.int64)
+    # the most frequent words are counted of all pairs, the others only where those leave it open
+    top_a, top_b, more_a, more_b = bits_a[:TOP], bits_b[:TOP], np.ascontiguousarray(bits_a[TOP:].T), np.ascontiguousarray(bits_b[TOP:].T)
+    beside_a = (a.sizes - np.bitwise_count(top_a).sum(0, dtype=np.int32)).astype(np.int16 if a.sizes.max() < 30_000 else np.int32)
+    beside_b = known - np.bitwise_count(top_b).sum(0, dtype=np.int64)
+    # no text of a block in short numbers has as many words as their bound
+    small, bound = beside_a.dtype.type, 30_000 if beside_a.dtype == np.int16 else 2**31 - 1
+    need_a = a.need.astype(small)
     for j in open_b.tolist():
-        mine = b.seq[b.starts[j] : b.starts[j + 1]]
-        mine = at[mine[met[mine]]]
+        both = np.bitwise_count(top_a & top_b[:, j, None]).sum(0, dtype=beside_a.dtype)
+        i = np.flatnonzero(both + np.minimum(beside_a, small(min(beside_b[j], bound))) >= np.maximum(need_a, small(min(b.need[j], bound))))
+        if not len(i):
+            continue
+        need = np.maximum(a.need[i], b.need[j])
+        both = both[i].astype(np.int64)
+        if more_a.shape[1]:
+            both += np.bitwise_count(more_a[i] & more_b[j]) @ np.ones(more_a.shape[1], np.int64)
+            left = both + np.minimum(rest_a[i], rest_b[j]) >= need
+            i, both, need = i[left], both[left], need[left]
+            if not len(i):
+                continue
+        mine = here[b.starts[j] : b.starts[j + 1]]
+        mine = mine[mine >= 0]
         mine = mine[bit[mine] < 0]
+        lists, start = a.lists
         parts = [lists[x:y] for x, y in zip(start[mine].tolist(), start[mine + 1].tolist())]
         count = np.bincount(np.concatenate(parts), minlength=len(a.ids)) if parts else np.zeros(len(a.ids), np.int64)
-        need = np.maximum(a.need, b.need[j])
-        i = np.flatnonzero(count + np.minimum(often_a, often_b[j]) >= need)
-        i = i[count[i] + np.bitwise_count(bits_a[i] & bits_b[j]).sum(1, dtype=np.int64) >= need[i]]
+        i = i[both + count[i] >= need]
         if len(i):
             yield j, i[np.abs(a.pivots[i] - b.pivots[j]).max(1) <= RADIUS + 1e-6]
 
@@ -242,11 +276,11 @@ def _meet(first: int | None, any_order: bool):
         held: dict[tuple, _Block] = {}
 
         def of(folder: str, block: int) -> _Block:
-            if (folder, block) not in held:
-                while len(held) > 1:
-                    held.pop(next(iter(held)))
-                held[folder, block] = _Block(folder, block)
-            return held[folder, block]
+            found = held.pop((folder, block), None) or _Block(folder, block)
+            while len(held) > 1:
+                held.pop(next(iter(held)))
+            held[folder, block] = found
+            return found
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -308,10 +342,9 @@ def neighbours(spark: SparkSession, asked: str, stores: list[str], own: bool = F
     pairs = pairs.filter(reach("a_low", "b_high") & reach("b_low", "a_high") & ~apart & (~is_own | (F.col("a_block") <= F.col("b_block"))))
     gone = (dropped if dropped is not None else spark.createDataFrame([], DROPPED)).select(F.col("folder").alias("a_folder"), F.col("block").alias("a_block"), F.col("ids").alias("dropped"))
     pairs = cut(pairs.select("a_folder", "a_block", "b_folder", "b_block", is_own.alias("own"), (F.col("a_near") == F.col("b_near")).alias("like")))
-    n = pairs.count()
-    # one pair of blocks is a task's work, so that a lost one is cheap to do again; like blocks, the long ones, first
-    tasks = max(1, min(n, 4096))
-    met = pairs.join(gone, ["a_folder", "a_block"], "left").repartition(tasks, "like", "a_folder", "a_block", "b_folder", "b_block")
+    # a few pairs of blocks are a task's work, those of one block together; blocks of unlike texts share few words and cost little
+    tasks = max(1, min(pairs.count() // PAIRS, 50_000))
+    met = pairs.join(gone, ["a_folder", "a_block"], "left").repartitionByRange(tasks, "like", "a_folder", "a_block", "b_folder", "b_block")
     return met.select("a_folder", "a_block", "b_folder", "b_block", "own", "dropped").mapInArrow(_meet(first, any_order), "id bigint, other bigint, share double, more boolean")
 
 

@@ -1,10 +1,15 @@
 """Problem 2: template residue, filler, error pages and script notices in place of content.
 
-Phrases of five languages are matched by one multi-pattern automaton, placeholders by the syntax of
-common template languages. A line is residue where the matched part of its characters is high; a record
-is excluded where residue lines stand in the place of its article or of a part of it. A sentence that
-quotes such a phrase has low coverage, and notices that a site repeats around its articles are not looked
-at: they are unimportant nodes of the site's style tree.
+A message of this kind names a thing and what is wrong with it: scripts that are off, a page that can't be
+found. Both come in many wordings, so one multi-pattern automaton over the parts of all families, in five
+languages, finds the lines in which the parts of one family meet; a few fixed phrases (HTTP reasons, traces,
+filler) are families of one part, placeholders are found by the syntax of common template languages. Of
+such a line each sentence is matched as far as its words are those of messages: COVERAGE of its words must be
+among the parts and the message words below, so that a sentence of an article that speaks of a server, with
+names, places and sums, isn't one. A line is residue where matched sentences are LINE_COVERAGE of its letters; a
+record is excluded where residue lines stand in the place of its article or of a part of it. Text in quotation
+marks doesn't count, and notices that a site repeats around its articles are not looked at: they are unimportant
+nodes of the site's style tree. A placeholder outside quotation marks is a missing part of the article by itself.
 """
 
 from __future__ import annotations
@@ -12,51 +17,97 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-# Phrases that stand where content should, in lower case; # is a number.
+# The families: what is named | what is said of it. A part ending in * goes on in any way, others are whole words.
+# Wording of browsers, servers, content systems and page templates as they are commonly met in the five languages.
+FAMILIES = {
+    "scripts": (
+        "javascript, java script, script, scripts, mã lệnh, mã script, skript*",
+        "enabl*, turn on, turned on, turning it on, turn it on, switch on, switched on, activat*, requir*, need*, disabled, turned off, blocked, without, support*, allow, bật, kích hoạt, cần, yêu cầu, bị tắt, hỗ trợ, chặn, activar, activa*, active, habilit*, requiere, necesita, desactivad*, deshabilitad*, admite, permita, bloque*, activer, activez, nécessit*, désactiv*, autoris*, requis, aktivier*, einschalt*, eingeschaltet, deaktiviert, benötigt, erforderlich, ausgeschaltet, erlauben, führt",
+    ),
+    "browser": (
+        "browser, browsers, trình duyệt, navegador, navigateur",
+        "support*, not supported, unsupported, outdated, out of date, upgrade, update it, checking, too old, old version, không hỗ trợ, lỗi thời, nâng cấp, hãy cập nhật, kiểm tra, quá cũ, desactualizado, actualícelo, actualice, comprobando, no es compatible, obsoleto, antiguo, obsolète, vérification, vérifions, mettre à jour, pas pris en charge, pas compatible, veraltet, aktualisieren, geprüft, überprüft, nicht unterstützt, wird nicht",
+    ),
+    "human": (
+        "robot, robots, human, humans, captcha, bot, người máy, con người, rô bốt, humano, humana, humain, mensch, roboter",
+        "verify, verifying, confirm, prove, are you, not a, check, xác nhận, xác minh, không phải, chứng minh, verifi*, no es un, no soy, demuestre, vérifi*, n'êtes pas, ne suis pas, prouvez, bestätigen, kein, keine, nachweisen",
+    ),
+    "traffic": (
+        "requests, traffic, attempts, yêu cầu, lượt truy cập, solicitudes, peticiones, intentos, requêtes, demandes, tentatives, anfragen, zugriffe, versuche",
+        "too many, unusual, suspicious, slow down, quá nhiều, bất thường, demasiad*, inusual, trop de, inhabituel*, zu viele, ungewöhnlich*",
+    ),
+    "page": (
+        "page, pages, url, link, address, article, post, content, file, video, item, resource, trang, liên kết, đường dẫn, bài viết, nội dung, video này, tài nguyên, página, enlace, artículo, contenido, vídeo, archivo, recurso, lien, contenu, vidéo, fichier, ressource, adresse, seite, artikel, beitrag, inhalt, datei, dokument",
+        "not found, can't find, cannot find, couldn't find, could not find, cannot be found, could not be found, can't be found, does not exist, doesn't exist, never existed, no longer, moved, been removed, been deleted, was removed, was deleted, expired, is gone, unavailable, not available, isn't available, is private, không tìm thấy, không tồn tại, bị gỡ, bị xóa, bị xoá, đã gỡ, hết hạn, không khả dụng, không có sẵn, không còn, riêng tư, no encontrad*, no se encontró, no se ha encontrado, no se encuentra, no podemos encontrar, no existe, no está disponible, no disponible, ya no, eliminad*, retirad*, caducad*, expirad*, introuvable*, non trouvé*, pas trouvé*, n'existe*, supprimé*, retiré*, a expiré, est expiré, indisponible*, pas disponible, plus disponible, n'est plus, nicht gefunden, existiert nicht, nicht existiert, nicht mehr, nicht verfügbar, gelöscht, entfernt, abgelaufen",
+    ),
+    "access": (
+        "access, permission, permissions, authori*, quyền, truy cập, acceso, permiso, autorización, accès, autorisation, droits, zugriff, zugang, berechtigung*, rechte",
+        "denied, do not have, don't have, forbidden, blocked, restricted, không có quyền, bị từ chối, bị chặn, bị cấm, denegado, no tiene*, prohibido, restringido, refusé, interdit, n'avez pas, bloqué, restreint, verweigert, keine, verboten, gesperrt, nicht berechtigt",
+    ),
+    "session": (
+        "session, login, log in, sign in, phiên, đăng nhập, sesión, connexion, sitzung, anmeldung, abgemeldet, melden sie sich",
+        "expired, timed out, has ended, again, hết hạn, lại, ha caducado, ha expirado, caducada, de nuevo, expiré*, reconnect*, abgelaufen, erneut",
+    ),
+    "server": (
+        "server, servers, service, database, gateway, upstream, site, website, web site, system, connection, network, host, máy chủ, hệ thống, dịch vụ, kết nối, trang web, cơ sở dữ liệu, servidor, servicio, sitio, conexión, sistema, base de datos, serveur, site, connexion, système, base de données, server, serverfehler, dienst, verbindung, datenbank, webseite, webserver",
+        "unavailable, timeout, time-out, timed out, did not respond, not responding, did not answer, no response, refused, failed, internal, could not complete, couldn't complete, temporary error, maintenance, overloaded, is down, are down, bảo trì, không phản hồi, quá tải, gián đoạn, không thể, lỗi, từ chối, interno, no responde, tardó demasiado, no disponible, mantenimiento, sobrecargad*, no se pudo, rechaz*, fallo de, ne répond pas, indisponible*, en maintenance, surchargé*, interne, impossible, a refusé, délai, zeitüberschreitung, antwortet nicht, wartung*, gewartet, überlastet, nicht erreichbar, interner, keine, fehlgeschlagen",
+    ),
+    "error": (
+        "error, errors, problem, lỗi, sự cố, fallo, problema, erreur, problème, fehler",
+        "occurred, has occurred, unexpected, encountered, establishing, try again, loading, please, xảy ra, không xác định, thử lại, ha ocurrido, ocurrió, se ha producido, se produjo, inesperad*, inténtelo, est survenue, s'est produite, inattendue, réessay*, aufgetreten, ist passiert, unerwartet*, versuchen sie",
+    ),
+    "code": ("error, http, code, status, lỗi, mã lỗi, fehler, erreur, código, statut, #", "4##, 5##"),
+    "fill": (
+        "text, copy, paragraph, headline, heading, heading text, title, content, post, teaser, caption, image, description, văn bản, tiêu đề, bài viết, nội dung, đoạn, hình ảnh, texto, titular, título, contenido, artículo, entradilla, imagen, texte, titre, contenu, article, légende, image, überschrift, titel, inhalt, absatz, bild, beitrag",
+        "dummy, sample, example, placeholder*, filler, goes here, insert, your text here, text here, add your, enter your, type your, write your, to follow, is a test, mẫu, ở đây, vào đây, nhập, giả, đang được cập nhật, chờ cập nhật, de ejemplo, de prueba, de muestra, de relleno, aquí, inserte, introduzca, escriba, próximamente, faux, d'exemple, de remplissage, ici, insér*, saisi*, à compléter, à venir, blind, beispiel*, muster*, hier, einfügen, eingeben, ergänzen, folgt",
+    ),
+    "ignore": (
+        "test, test page, sample, draft, page de test, article de test, testseite, prueba, esta página, bài kiểm tra, trang thử, bài thử",
+        "ignore*, do not publish, delete it, delete this, bỏ qua, xóa, xoá, no hagan caso, ignoren, ignorer, l'ignorer, ignorieren, nicht veröffentlichen",
+    ),
+    "building": (
+        "page, site, website, section, content, trang, chuyên mục, nội dung, página, sitio, sección, contenido, rubrique, page, contenu, seite, website, bereich, inhalt",
+        "under construction, coming soon, to follow, being updated, đang được xây dựng, đang xây dựng, đang được cập nhật, đang cập nhật, sắp ra mắt, en construcción, próximamente, en construction, à venir, bientôt, im aufbau, in kürze, folgt",
+    ),
+}
+# Families of one part.
 PHRASES = """
-please enable javascript to view this page | javascript is required | reload after turning it on
-you need a browser with scripts switched on to use | your browser is not supported | update it and come back
-checking your browser before opening | this takes up to # seconds | if nothing happens, scripts may be blocked by an extension
-please turn on javascript | enable cookies and javascript | loading...
-verify that you are human by completing the task below | verify you are human | are you a robot
-too many requests from your network | slow down | access denied | you do not have permission to view this resource
-your session has expired | sign in again to continue | this content is not available in your region
-this video is private or has been removed | the link you followed has expired | the database refused the connection
-service temporarily unavailable | please try again in a few minutes | internal server error | bad gateway | gateway timeout
-gateway timeout at edge node | upstream did not answer in time | fatal error | uncaught typeerror | in /srv/www/render.php on line #
-in /srv/www/render.php | oops! something went wrong on our side | something went wrong | sorry, we can't find that page
-it may have moved or never existed | the page you were looking for is gone | page not found | error # | not found | forbidden
-insert intro paragraph here | (max. # words) | headline goes here | your text here | text here | example headline number #
-example teaser text | placeholder paragraph one | placeholder paragraph two | placeholder paragraph | this is a sample post
-delete it and start writing | test test test | please ignore this page | todo write article | todo | untitled | draft #
-asdf asdf qwer asdf | asdf | qwer | xxxx xxxxx xxx xxxxxx xx | [object object] | undefined | null | nan
-content coming soon | coming soon | read what | thank you for writing to | your case | would be refunded | last updated
-vui lòng bật javascript để xem trang này | trình duyệt của bạn không hỗ trợ mã lệnh | hãy cập nhật
-hãy xác nhận bạn không phải là robot | bạn không có quyền truy cập nội dung này | nội dung này không khả dụng tại khu vực của bạn
-bài viết đã bị gỡ hoặc không tồn tại | không tìm thấy trang bạn yêu cầu | máy chủ không phản hồi | đã xảy ra lỗi | lỗi #
-tiêu đề ở đây | nhập nội dung bài viết | nội dung đang được cập nhật | sẽ được hoàn tiền | kính gửi | cảm ơn bạn đã liên hệ
-active javascript para ver esta página | su navegador no admite scripts | actualícelo | comprobando su navegador antes de abrir
-confirme que no es un robot | ha ocurrido un fallo inesperado | página no encontrada | este contenido no está disponible en su región
-la sesión ha caducado | acceso denegado | escriba aquí el titular | introduzca el texto del artículo | próximamente: contenido de esta sección
-contenido de muestra para la maqueta | prueba prueba, no hagan caso de esta página | será reembolsado | gracias por escribir a
-veuillez activer javascript pour afficher cette page | votre navigateur bloque les scripts | vérification de votre navigateur avant d'ouvrir
-une erreur est survenue | le serveur ne répond pas | erreur # | votre session a expiré | accès refusé | page introuvable
-ce contenu n'est pas disponible dans votre région | insérer le titre ici | texte à compléter | votre texte ici | texte ici
-ceci est un faux texte pour la maquette | contenu à venir pour cette rubrique | page de test, merci de l'ignorer | serait remboursé
-bitte javascript einschalten, um diese seite zu sehen | ihr browser führt keine skripte aus | seite nicht gefunden
-ihre sitzung ist abgelaufen | da ist etwas schiefgelaufen | zeitüberschreitung beim server | fehler #
-dieser inhalt ist in ihrer region nicht verfügbar | zugriff verweigert | hier überschrift einfügen | bitte text ergänzen
-ihr text hier | text hier | werde erstattet | danke für ihre nachricht an
-dummy copy for layout only, final copy to follow | coming soon: content for this section | down for maintenance | traceback (most recent call last)
-keyerror: 'article' | el servidor tardó demasiado en responder | servicio no disponible, inténtelo más tarde
-texto de ejemplo, sustituir antes de publicar | article de test, merci de l'ignorer | service indisponible, merci de réessayer plus tard
-wartungsarbeiten, bitte später erneut versuchen | testseite, bitte ignorieren | bài kiểm tra hiển thị, vui lòng bỏ qua
-hệ thống đang bảo trì, vui lòng quay lại sau | văn bản mẫu | đang kiểm tra trình duyệt trước khi mở
-phiên làm việc đã hết hạn, hãy đăng nhập lại | đây là bài viết mẫu, hãy xóa và viết nội dung của bạn
-blindtext für das layout | dies ist ein beispieltext und wird noch ersetzt | inhalt folgt in kürze
-bestätigen sie, dass sie kein roboter sind | bitte aktivieren sie javascript, um diese seite zu sehen
-confirmez que vous n'êtes pas un robot | no tiene permiso para ver este recurso
-bitte aktivieren sie javascript, um diese seite anzuzeigen | ihr browser wird nicht unterstützt | ihr browser wird geprüft, bevor
+bad gateway, gateway timeout, internal server error, service unavailable, not found, forbidden, bad request, unauthorized, too many requests, request timeout
+something went wrong, something broke, an error occurred, went wrong, sorry for the inconvenience, traceback (most recent call last), fatal error, uncaught, stack trace
+segmentation fault, unhandled exception, nullpointerexception, typeerror, referenceerror, syntaxerror, keyerror, valueerror, sqlstate, core dumped, is not a function, is not defined
+[object object], undefined, null, nan, none none, asdf, asdfg, qwer, qwerty, xxxx, xxxxx, foo bar, blah blah, test test, todo, tbd, tba, draft #, draft, untitled, no title, blank page
+your text here, text goes here, headline goes here, lorem ipsum, dummy text, dummy copy, sample post, sample page, placeholder text, placeholder paragraph
+coming soon, under construction, loading..., loading…, please wait, redirecting, down for maintenance, be right back, check back soon
+đã xảy ra lỗi, có lỗi xảy ra, văn bản mẫu, bản nháp, chưa có tiêu đề, đang tải, vui lòng chờ, sắp ra mắt, không tìm thấy trang
+algo salió mal, algo ha fallado, en construcción, borrador, sin título, cargando, espere un momento, próximamente, prueba prueba, acceso denegado
+une erreur est survenue, un problème est survenu, en construction, brouillon, sans titre, chargement en cours, veuillez patienter, à venir, faux texte, texte à compléter
+schiefgelaufen, schiefgegangen, blindtext, platzhaltertext, beispieltext, mustertext, in kürze, im aufbau, entwurf, ohne titel, wird geladen, bitte warten, serverfehler
+"""
+# Words that messages are made of beside those parts: function words and what readers are asked to do.
+WORDS = """
+a about access again allow also an and any app are article as at available back be because been before being below body browser but by cache can check click close code come complete completing computer contact content continue
+cookies correctly could create current currently date delete detected device did disabled display do does doesn't don't due edge enable encountered error exist expect experience extension few final find first for from function get go gone
+has have headline help here home how human i id if image in into is it it's its item javascript just later layout let line link load loading location log long longer made make maintenance may maybe max message minute minutes
+moment more most moved must need needs network never new newer next no node nothing now number of off old on once one only open oops or order other our out page paragraph perform please post private proceed
+product properly provide proxy public published ray refresh region reload removed replace replaced request requested requires resource retry return run sample scheduled scripts search second seconds security see seem seems server
+session several should sign site so some something soon sorry start still stopped such support system takes task teaser temporarily temporary text than that the their then there these they this time title to today too tried try trying turn turning two
+type unexpected until update updated up upgrade url us use user using version verify very view visit wait was we we're web were what when which while who will with within without words working write writing wrong you you're your
+article's first-name intro lists main null nan none undefined render
+# vi
+bài báo bạn bị bật bởi các cách cần cập cho chúng chưa chờ con có cơ của cũ dữ dung duyệt dùng dịch đã đang đăng đây đến để điều định đoạn đó đổi đợi được gặp gỡ giây giờ hãy hạn hết hiện hiển hiểu hoặc hoạt hỗ hợp kết khả khi không khu kiểm kiện lại lần làm lệnh lệ liên liệu lên lỗi lòng lúc lượt mã máy mẫu mất mới một mục này nào nâng năng nạp ngoài ngừng ngữ
+người nhật nhập nhà nhé nhiều những nhưng nối nội nữa ở phải phát phép phiên phiên phút phục quay quá quản quyền ra rất rồi sau sẵn sẽ số sử sự sửa tác tải tại tạm tập tên thành thay thấy thể theo thêm thiết thông thời thử thực tiếp tiếng tiêu tìm tin tồn tôi tới trang tránh trên tra trì trình trong trống trợ trước trở truy từ tự tắt ứng và vào văn vẫn về vì viết việc viên vui vụ với vực xác xảy xem xin xóa xoá yêu nhận phải robot
+# es
+a abajo abrir acceder acceso actual ahora al algo algunos antes aquí archivo así atrás ayuda bien caso cargar casa clic código como compatible compruebe con conectar conexión contenido continuar cookies corregir correctamente cuando de debe del desde después dirección disponible dispositivo donde durante e el ella en entrar error es esa ese espere esta está este esto estos favor final funcionar funcione ha
+hacer hagan haga han hasta hay humano inicie inicio intente inténtelo la las le lo los luego maqueta más mantenimiento más me mensaje mientras minutos momento muy navegador necesita ninguna no nos nueva nuevo nuestra o otra página para parece pero poco podemos por pronto pronta publicar pudo puede que quitar recargue reciente red región reintente se sección segundos ser servidor si sido sin sistema
+sitio sobre solicitada solicitado su sus sustituir también tarde temporalmente texto tiempo tiene todavía un una unos usar usted utilice ver verificar versión versión vez visualizar volver vuelva y ya
+# fr
+à accéder actualiser actualisez adresse afficher ai aide ainsi après article au aucun aux avant avec avez base bientôt bien bloque blocs c'est car ce ceci cela cette ces cet cliquez code comme connecter connexion contenu continuer correctement d'abord d'accéder d'ouvrir dans de demandée demandé déjà depuis des désolé deux disponible donc du elle en encore erreur est et être êtes faire fonctionner fonctionne humain ici il impossible inattendue instant
+interne internet jour l'accès l'adresse l'article l'équipe la lien laquelle le les leur lire lui ma mais maquette maintenance mais merci mettre minutes moment mois navigateur ne nos notre nous nouveau nouvelle n'est on ou oups page par paramètres pas patienter peu plus plusieurs pour pouvez produite puis quelques que qui rafraîchir rechargez recharger région réessayer réessayez rester revenez reconnecter rubrique s'est sa sans scripts section serveur ses session si
+site son sont sous sur tard temps texte toujours tout trop trouver un une utiliser utilisez veuillez vérifier version vérifiez visiter voir vos votre vous y plutôt cours
+# de
+ab aber alle als am an anmelden angefordert angeforderte anzeigen anzusehen auch auf aufgerufen aufrufen aus bald bei bis bitte da damit danach dann das dass dem den der derzeit des die dies diese diesem diesen dieser dieses dort du ein eine einem einen einer eines einmal erneut erst es etwas fehler fortfahren fortzufahren fort für gefunden gerade geöffnet gleich haben hat hier
+ich ihr ihre ihrem ihren ihrer im immer in ist ja jetzt kann kein keine können konnte layout laden leider lassen mal man mehr mensch minuten mit möglich moment nach neu neue neuere nicht nichts noch nun nur nutzen ob oder öffnen oops ort prüfen region roboter schritt sehen sein seite seiten sekunden selbst server sich sicherheit sie sind so sobald sollte sowie später suche
+text über überprüfen um und uns unser unsere unter version versuchen verwenden vom von vor vorübergehend wann war warten was weiter wenn werden wieder wir wird wurde wurden zeigen zu zum zur zurück zurzeit verbindung
 """
 # Words of the Latin filler text.
 FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et
@@ -70,26 +121,59 @@ PLACEHOLDER = re.compile(
 )
 # Words by which a sentence tells of placeholders instead of having one left over.
 TELLS = re.compile(r"\b(?:template|placeholder|plantilla|marcador|modèle|gabarit|vorlage|platzhalter|bản mẫu|khuôn mẫu)\b", re.I)
-#: A line is residue from this matched share of its characters, or from this many placeholders.
-LINE_COVERAGE, LINE_PLACEHOLDERS = 0.5, 2
+#: Share of a sentence's words that must be those of messages; the share of a line's letters in matched sentences.
+COVERAGE, LINE_COVERAGE = 0.75, 0.5
+#: A line is residue from this many placeholders.
+LINE_PLACEHOLDERS = 2
 #: A record goes where residue lines are this share of the characters that stand for its article.
 RECORD_COVERAGE = 0.02
-_DIGITS = re.compile(r"\d+")
+_WORD, _SENTENCE = re.compile(r"[^\W_]+(?:['’][^\W_]+)*"), re.compile(r"(?<=[.!?…;:])\s+|\s[-–—|·]\s")
+_SPLIT = re.compile(r",\s+")
+
+
+def _parts(text: str) -> list[str]:
+    return [p.strip() for line in text.strip().splitlines() for p in _SPLIT.split(line) if p.strip()]
 
 
 @lru_cache(maxsize=1)
 def automaton():
+    """Every part with its (family, side) marks, as bits: one for what is named, one for what is said of it."""
     import ahocorasick
 
+    marks: dict[str, int] = {}
+    for k, sides in enumerate(FAMILIES.values()):
+        for side, text in enumerate(sides):
+            for part in _parts(text):
+                marks[part] = marks.get(part, 0) | 1 << 2 * k + side
+    alone = 1 << 2 * len(FAMILIES)
+    for part in _parts(PHRASES):
+        marks[part] = marks.get(part, 0) | alone
     found = ahocorasick.Automaton()
-    for phrase in {p.strip() for line in PHRASES.strip().splitlines() for p in line.split(" | ")}:
-        found.add_word(phrase, (len(phrase), False))
-    for word in FILLER:
-        found.add_word(word, (len(word), True))
+    for part, mark in marks.items():
+        text = part.rstrip("*")
+        found.add_word(text, (len(text), mark, part.endswith("*")))
     found.make_automaton()
     return found
 
 
+@lru_cache(maxsize=1)
+def message_words() -> frozenset[str]:
+    """All words of the parts, of one part's families and of WORDS."""
+    out = {w for line in WORDS.splitlines() if not line.startswith("#") for w in line.split()}
+    for text in (PHRASES, *(side for sides in FAMILIES.values() for side in sides)):
+        out |= {w for part in _parts(text) for w in _WORD.findall(part.rstrip("*"))}
+    return frozenset(out)
+
+
+@lru_cache(maxsize=1)
+def message_stems() -> tuple[str, ...]:
+    return tuple(sorted({p.rstrip("*").split()[-1] for sides in FAMILIES.values() for side in sides for p in _parts(side) if p.endswith("*")}))
+
+
+_FILLER = frozenset(FILLER)
+_NAMED = sum(1 << 2 * k for k in range(len(FAMILIES)))
+
+
 _MARKS = re.compile(r"[{\[<%@_$|]|\._\d|_\d")
 
 
@@ -103,68 +187,128 @@ def quoted(text: str, start: int, end: int, reach: int = 90) -> bool:
     return False
 
 
-def matches(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(spans of phrases, spans of placeholders) of a text outside quotation marks."""
-    holders = [m.span() for m in PLACEHOLDER.finditer(text)] if _MARKS.search(text) else []
+def _plain(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    # a number is one sign
-    plain = _DIGITS.sub("#", low)
-    hits = list(automaton().iter(plain))
-    if not hits:
-        return [], [s for s in holders if not quoted(text, *s)]
-    index = None
-    if plain != low:
-        index, at = [], 0
-        for m in _DIGITS.finditer(low):
-            index += range(at, m.start() + 1)
-            at = m.end()
-        index += range(at, len(low) + 1)
-    phrases, filler = [], []
-    for end, (size, word) in hits:
-        start = end - size + 1
-        if start and plain[start - 1].isalpha() and plain[start].isalpha() or end + 1 < len(plain) and plain[end + 1].isalpha() and plain[end].isalpha():
+    return low.replace("’", "'")
+
+
+_CODES = re.compile(r"\b([45])\d\d\b")
+
+
+def spans(low: str) -> list[tuple[int, int, int]]:
+    """(start, end, marks) of the parts in a lower-case text."""
+    out = []
+    for end, (size, mark, open_end) in automaton().iter(low):
+        start, end = end - size + 1, end + 1
+        if start and low[start - 1].isalnum() and low[start].isalnum() or not open_end and end < len(low) and low[end].isalnum() and low[end - 1].isalnum():
             continue
-        span = (start, end + 1) if index is None else (index[start], index[end + 1])
-        (filler if word else phrases).append(span)
+        out.append((start, end, mark))
+    return out
+
+
+def complete(marks: int) -> bool:
+    """Whether both sides of a family, or a family of one part, are among the marks."""
+    return bool(marks >> 2 * len(FAMILIES)) or bool(marks & marks >> 1 & _NAMED)
+
+
+def _marks(found: list[tuple[int, int, int]], low: str) -> int:
+    """The marks of parts, each side of a family by a place of its own."""
+    got = 0
+    for start, end, mark in found:
+        if mark & mark >> 1 & _NAMED:
+            # one part can't be both sides
+            mark = mark & _NAMED if any(m & mark & ~_NAMED and (a >= end or b <= start) for a, b, m in found) else mark & ~_NAMED
+        got |= mark
+    return got
+
+
+@lru_cache(maxsize=200_000)
+def _is_message_word(word: str) -> bool:
+    return word in message_words() or word.isdigit() or word.startswith(message_stems())
+
+
+def _sentence_share(low: str) -> float:
+    """Share of a sentence's words that are those of messages; of traces, what looks like code counts."""
+    words = _WORD.findall(low)
+    if not words:
+        return 0.0
+    if re.search(r"error\b.*[:(]|exception|traceback|\w+\.\w+\(|/[\w.]+/|line \d+", low) and re.search(r"fatal|uncaught|traceback|exception|error:|is not defined|is not a function", low):
+        return 1.0
+    return sum(map(_is_message_word, words)) / len(words)
+
+
+def matched(text: str) -> list[tuple[int, int]]:
+    """Spans of the sentences of a line that are messages, or filler."""
+    low = _plain(text)
+    found = spans(_CODES.sub(r"\1##", low))
+    everything = _marks(found, low)
+    filler = [m.span() for m in _WORD.finditer(low) if m.group() in _FILLER] if "ipsum" in low or "lorem" in low or _latin(low) else []
+    if not complete(everything) and not filler:
+        return []
+    out, at, latest = [], 0, False
+    bounds = [*[(m.start(), m.end()) for m in _SENTENCE.finditer(text)], (len(text), len(text))]
+    for stop, after in bounds:
+        own = [s for s in found if at <= s[0] and s[1] <= stop and not quoted(text, s[0], s[1])]
+        share = _sentence_share(low[at:stop])
+        # what follows a message and is made of its words belongs to it
+        if share >= COVERAGE and complete(_marks(own, low)) or latest and share >= 0.8:
+            out.append((at, stop))
+            latest = True
+        else:
+            latest = False
+        at = after
     if len(filler) >= 4 and len({low[a:b] for a, b in filler}) >= 4:
-        phrases += filler
-    return [s for s in phrases if not quoted(text, *s)], [s for s in holders if not quoted(text, *s)]
+        out += filler
+    return [s for s in out if not quoted(text, *s)]
+
+
+def _latin(low: str) -> bool:
+    """Whether at least half of a line's words are those of the Latin filler."""
+    words = low.split()
+    return len(words) >= 2 and 2 * sum(w.strip(".,;:!?") in _FILLER for w in words) >= len(words)
+
+
+def holders(text: str) -> list[tuple[int, int]]:
+    """Spans of placeholders outside quotation marks."""
+    return [m.span() for m in PLACEHOLDER.finditer(text) if not quoted(text, *m.span())] if _MARKS.search(text) else []
 
 
 def coverage(text: str) -> tuple[float, int]:
     """(share of the letters and digits of a line inside matches, number of placeholders)."""
-    phrases, holders = matches(text)
-    if not phrases and not holders:
+    left = holders(text)
+    found = matched(text) + left
+    if not found:
         return 0.0, 0
     marked = bytearray(len(text))
-    for a, b in phrases + holders:
+    for a, b in found:
         marked[a:b] = b"\1" * (b - a)
     total = hit = 0
     for i, c in enumerate(text):
         if c.isalnum():
             total += 1
             hit += marked[i]
-    return (hit / total if total else 0.0), len(holders)
+    return (hit / total if total else 0.0), len(left)
 
 
 @lru_cache(maxsize=50_000)
 def is_residue(text: str) -> bool:
     """Whether a line is residue by its matched coverage. Lines repeat, and are asked for more than once."""
-    share, holders = coverage(" ".join(text.split()))
-    return holders >= LINE_PLACEHOLDERS or share >= LINE_COVERAGE
+    share, left = coverage(" ".join(text.split()))
+    return left >= LINE_PLACEHOLDERS or share >= LINE_COVERAGE
 
 
 def in_place_of_content(lines: list[str]) -> bool:
     """Whether residue stands in place of an article or of a part of it, given the article's lines.
 
     Lines are judged alone; placeholders are also looked for in the joined lines, as a quotation may go
-    over a wrapped line. The share of the characters that counts is RECORD_COVERAGE.
+    over a wrapped line: one that isn't quoted or told of stands for a part of the article, however long that is. The
+    share of the characters that counts is RECORD_COVERAGE.
     """
     total = sum(map(len, lines))
     bad = sum(len(text) for text in lines if is_residue(text) and not TELLS.search(text))
     if bad:
         return bad >= RECORD_COVERAGE * total
     joined = " ".join(lines)
-    return any(not TELLS.search(joined, max(0, a - 80), b + 80) for a, b in (matches(joined)[1] if _MARKS.search(joined) else ()))
+    return any(not TELLS.search(joined, max(0, a - 80), b + 80) for a, b in holders(joined))

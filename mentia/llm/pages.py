@@ -23,6 +23,7 @@ class Line(NamedTuple):
     path: tuple[int, ...]  # open block elements, by the number of their start
     heading: bool
     link: bool  # the whole text is a link
+    nodes: tuple[str, ...] = ()  # presentation nodes of the leaf: the chain of styles to its element, and to what encloses that
 
 
 def is_page(body: str) -> bool:
@@ -35,40 +36,46 @@ def plain_lines(text: str) -> list[Line]:
 
 def page_lines(body: str) -> list[Line]:
     """One leaf a physical line. Elements that stay open go on over the next lines."""
-    out, stack, hidden, serial, carried = [], [], [], 0, ""
+    out, stack, hidden, serial, carried = [], [("", 0, "")], [], 0, ""
     for no, raw in enumerate(body.split("\n"), 1):
-        raw = _COMMENT.sub("", raw)
+        if "<!" in raw:
+            raw = _COMMENT.sub("", raw)
         texts, last, style, heading = [], 0, "", False
-        path = tuple(n for _, n in stack)
+        path, inside = tuple([n for _, n, _ in stack[1:]]), stack[-1][2]
         for m in _TAG.finditer(raw):
             if not hidden:
                 texts.append(raw[last : m.start()])
-            last, name = m.end(), m.group(2).lower()
-            if m.group(1):
+            closing, name, attributes, empty = m.groups()
+            last, name = m.end(), name.lower()
+            if closing:
                 if hidden and hidden[-1] == name:
                     hidden.pop()
-                elif any(name == n for n, _ in stack):
+                elif any([name == n for n, _, _ in stack]):
                     while stack.pop()[0] != name:
                         pass
                 continue
-            if name in HIDDEN and not m.group(4):
+            if name in HIDDEN and not empty:
                 hidden.append(name)
                 continue
-            if not style and name not in VOID:
-                got = _NAME.search(m.group(3))
-                style = f"{name}.{got.group(1).lower()}" if got else name
+            block = name in BLOCKS and not empty
+            if block or not style and name not in VOID:
+                got = attributes and _NAME.search(attributes)
+                own = f"{name}.{got.group(1).lower()}" if got else name
+                style = style or own
             heading = heading or name == "h1"
-            if name in BLOCKS and not m.group(4):
+            if block:
                 serial += 1
-                stack.append((name, serial))
+                stack.append((name, serial, f"{stack[-1][2]}>{own}"))
         if not hidden:
             texts.append(raw[last:])
-        text = html.unescape("".join(texts)).replace("\xa0", " ").strip()
+        text = "".join(texts)
+        text = (html.unescape(text) if "&" in text else text).replace("\xa0", " ").strip()
         # an element that starts and ends on the line is the leaf itself
-        after = tuple(n for _, n in stack)
-        path = after if len(after) > len(path) else path
+        if len(stack) - 1 > len(path):
+            path, inside = tuple([n for _, n, _ in stack[1:]]), stack[-1][2]
         carried = style or carried
-        out.append(Line(no, text, style or (carried if text else ""), path, heading, "<a " in raw and _only_link(raw)))
+        leaf = style or (carried if text else "")
+        out.append(Line(no, text, leaf, path, heading, "<a " in raw and _only_link(raw), (f"{inside}/{leaf}", inside) if text else ()))
     return out
 
 
@@ -92,7 +99,21 @@ _MONTH_NAMES = (
     "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
 ).split()
 _WORD = re.compile(r"[^\W\d_]+|\d+|§")
-_NUMBER_OR_MONTH = {m: "#" for m in _MONTH_NAMES}
+
+
+class _Masks(dict):
+    """What stands for a word in keys: numbers and months are #."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        out = "#" if word.isdigit() or word in _MONTHS else word
+        self[word] = out
+        return out
+
+
+_MONTHS = frozenset(_MONTH_NAMES)
+_masks = _Masks()
 
 
 def site_name(site: str) -> str:
@@ -106,7 +127,7 @@ def words(text: str, name: str = "") -> list[str]:
     low = text.lower()
     if len(name) > 3:
         low = low.replace(name, "§")
-    return ["#" if w.isdigit() else _NUMBER_OR_MONTH.get(w, w) for w in _WORD.findall(low)]
+    return [*map(_masks.__getitem__, _WORD.findall(low))]
 
 
 _CAPITAL = re.compile(r"(?<!^)(?<![.!?:·] )\b[A-ZÀ-Þ][\w'-]*")

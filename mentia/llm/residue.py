@@ -30,7 +30,7 @@ FAMILIES = {
     ),
     "human": (
         "robot, robots, human, humans, captcha, bot, người máy, con người, rô bốt, humano, humana, humain, mensch, roboter",
-        "verify, verifying, confirm, prove, are you, not a, check, xác nhận, xác minh, không phải, chứng minh, verifi*, no es un, no soy, demuestre, vérifi*, n'êtes pas, ne suis pas, prouvez, bestätigen, kein, keine, nachweisen",
+        "verify, verifying, confirm, confirmer, prove, are you, not a, check, xác nhận, xác minh, không phải, chứng minh, verifi*, no es un, no soy, demuestre, vérifi*, n'êtes pas, ne suis pas, prouvez, bestätigen, kein, keine, nachweisen",
     ),
     "traffic": (
         "requests, traffic, attempts, yêu cầu, lượt truy cập, solicitudes, peticiones, intentos, requêtes, demandes, tentatives, anfragen, zugriffe, versuche",
@@ -56,9 +56,9 @@ FAMILIES = {
         "error, errors, problem, lỗi, sự cố, fallo, problema, erreur, problème, fehler",
         "occurred, has occurred, unexpected, encountered, establishing, try again, loading, please, xảy ra, không xác định, thử lại, ha ocurrido, ocurrió, se ha producido, se produjo, inesperad*, inténtelo, est survenue, s'est produite, inattendue, réessay*, aufgetreten, ist passiert, unerwartet*, versuchen sie",
     ),
-    "code": ("error, http, code, status, lỗi, mã lỗi, fehler, erreur, código, statut, #", "4##, 5##"),
+    "code": ("error, http, code, status, lỗi, mã lỗi, fehler, erreur, código, statut", "4##, 5##"),
     "fill": (
-        "text, copy, paragraph, headline, heading, heading text, title, content, post, teaser, caption, image, description, văn bản, tiêu đề, bài viết, nội dung, đoạn, hình ảnh, texto, titular, título, contenido, artículo, entradilla, imagen, texte, titre, contenu, article, légende, image, überschrift, titel, inhalt, absatz, bild, beitrag",
+        "text, copy, paragraph, headline, heading, title, content, post, teaser, caption, image, description, văn bản, tiêu đề, bài viết, nội dung, đoạn, hình ảnh, texto, titular, título, contenido, artículo, entradilla, imagen, texte, titre, contenu, article, légende, image, überschrift, titel, inhalt, absatz, bild, beitrag",
         "dummy, sample, example, placeholder*, filler, goes here, insert, your text here, text here, add your, enter your, type your, write your, to follow, is a test, mẫu, ở đây, vào đây, nhập, giả, đang được cập nhật, chờ cập nhật, de ejemplo, de prueba, de muestra, de relleno, aquí, inserte, introduzca, escriba, próximamente, faux, d'exemple, de remplissage, ici, insér*, saisi*, à compléter, à venir, blind, beispiel*, muster*, hier, einfügen, eingeben, ergänzen, folgt",
     ),
     "ignore": (
@@ -70,31 +70,31 @@ FAMILIES = {
         "under construction, coming soon, to follow, being updated, đang được xây dựng, đang xây dựng, đang được cập nhật, đang cập nhật, sắp ra mắt, en construcción, próximamente, en construction, à venir, bientôt, im aufbau, in kürze, folgt",
     ),
 }
-# Families of one part.
+# Families of one part. One of a single short word must be a third of its sentence.
 PHRASES = """
 bad gateway, gateway timeout, internal server error, service unavailable, not found, forbidden, bad request, unauthorized, too many requests, request timeout
 something went wrong, something broke, an error occurred, went wrong, sorry for the inconvenience, traceback (most recent call last), fatal error, uncaught, stack trace
 segmentation fault, unhandled exception, nullpointerexception, typeerror, referenceerror, syntaxerror, keyerror, valueerror, sqlstate, core dumped, is not a function, is not defined
-[object object], undefined, null, nan, none none, asdf, asdfg, qwer, qwerty, xxxx, xxxxx, foo bar, blah blah, test test, todo, tbd, tba, draft #, draft, untitled, no title, blank page
+[object object], undefined, null, nan, none none, asdf, asdfg, qwer, qwerty, xxxx, xxxxx, foo bar, blah blah, test test, todo, tbd, tba, draft, untitled, no title, blank page
 your text here, text goes here, headline goes here, lorem ipsum, dummy text, dummy copy, sample post, sample page, placeholder text, placeholder paragraph
-coming soon, under construction, loading..., loading…, please wait, redirecting, down for maintenance, be right back, check back soon
+scheduled maintenance, coming soon, under construction, loading..., loading…, please wait, redirecting, down for maintenance, be right back, check back soon
 đã xảy ra lỗi, có lỗi xảy ra, văn bản mẫu, bản nháp, chưa có tiêu đề, đang tải, vui lòng chờ, sắp ra mắt, không tìm thấy trang
 algo salió mal, algo ha fallado, en construcción, borrador, sin título, cargando, espere un momento, próximamente, prueba prueba, acceso denegado
 une erreur est survenue, un problème est survenu, en construction, brouillon, sans titre, chargement en cours, veuillez patienter, à venir, faux texte, texte à compléter
-schiefgelaufen, schiefgegangen, blindtext, platzhaltertext, beispieltext, mustertext, in kürze, im aufbau, entwurf, ohne titel, wird geladen, bitte warten, serverfehler
+wartungsarbeiten, schiefgelaufen, schiefgegangen, blindtext, platzhaltertext, beispieltext, mustertext, in kürze, im aufbau, entwurf, ohne titel, wird geladen, bitte warten, serverfehler
 """
 # Words that messages are made of beside those parts: function words and what readers are asked to do.
 WORDS = """
 a about access again allow also an and any app are article as at available back be because been before being below body browser but by cache can check click close code come complete completing computer contact content continue
 cookies correctly could create current currently date delete detected device did disabled display do does doesn't don't due edge enable encountered error exist expect experience extension few final find first for from function get go gone
-has have headline help here home how human i id if image in into is it it's its item javascript just later layout let line link load loading location log long longer made make maintenance may maybe max message minute minutes
-moment more most moved must need needs network never new newer next no node nothing now number of off old on once one only open oops or order other our out page paragraph perform please post private proceed
-product properly provide proxy public published ray refresh region reload removed replace replaced request requested requires resource retry return run sample scheduled scripts search second seconds security see seem seems server
+has have headline help here home how human i id if image in into is it it's its item javascript just later layout let line like link load loading location log long longer look looks made make maintenance may maybe max message minute minutes
+moment more most moved must need needs network never new newer next no node nothing now number of off old on once one only open opening oops or order other our out page paragraph perform please post private proceed
+product properly provide proxy public published ray ref reference refresh region reload removed replace replaced request requested requires resource retry return run sample scheduled scripts search second seconds security see seem seems server
 session several should sign site so some something soon sorry start still stopped such support system takes task teaser temporarily temporary text than that the their then there these they this time title to today too tried try trying turn turning two
 type unexpected until update updated up upgrade url us use user using version verify very view visit wait was we we're web were what when which while who will with within without words working write writing wrong you you're your
 article's first-name intro lists main null nan none undefined render
 # vi
-bài báo bạn bị bật bởi các cách cần cập cho chúng chưa chờ con có cơ của cũ dữ dung duyệt dùng dịch đã đang đăng đây đến để điều định đoạn đó đổi đợi được gặp gỡ giây giờ hãy hạn hết hiện hiển hiểu hoặc hoạt hỗ hợp kết khả khi không khu kiểm kiện lại lần làm lệnh lệ liên liệu lên lỗi lòng lúc lượt mã máy mẫu mất mới một mục này nào nâng năng nạp ngoài ngừng ngữ
+bài báo bạn bị bật bởi các cách cần cập cho chúng chưa chờ con có cơ của cũ dữ dung duyệt dùng dịch đã đang đăng đây đến để điều định đoạn đó đổi đợi được gặp gỡ giây giờ hãy hạn hết hiện hiển hiểu hoặc hoạt hỗ hợp kết khả khi không khu kiểm kiện lại lần làm lệnh lệ liên liệu lên lỗi lòng lúc lượt mã máy mẫu mất mở mới một mục này nào nâng năng nạp ngoài ngừng ngữ
 người nhật nhập nhà nhé nhiều những nhưng nối nội nữa ở phải phát phép phiên phiên phút phục quay quá quản quyền ra rất rồi sau sẵn sẽ số sử sự sửa tác tải tại tạm tập tên thành thay thấy thể theo thêm thiết thông thời thử thực tiếp tiếng tiêu tìm tin tồn tôi tới trang tránh trên tra trì trình trong trống trợ trước trở truy từ tự tắt ứng và vào văn vẫn về vì viết việc viên vui vụ với vực xác xảy xem xin xóa xoá yêu nhận phải robot
 # es
 a abajo abrir acceder acceso actual ahora al algo algunos antes aquí archivo así atrás ayuda bien caso cargar casa clic código como compatible compruebe con conectar conexión contenido continuar cookies corregir correctamente cuando de debe del desde después dirección disponible dispositivo donde durante e el ella en entrar error es esa ese espere esta está este esto estos favor final funcionar funcione ha
@@ -105,9 +105,9 @@ sitio sobre solicitada solicitado su sus sustituir también tarde temporalmente
 interne internet jour l'accès l'adresse l'article l'équipe la lien laquelle le les leur lire lui ma mais maquette maintenance mais merci mettre minutes moment mois navigateur ne nos notre nous nouveau nouvelle n'est on ou oups page par paramètres pas patienter peu plus plusieurs pour pouvez produite puis quelques que qui rafraîchir rechargez recharger région réessayer réessayez rester revenez reconnecter rubrique s'est sa sans scripts section serveur ses session si
 site son sont sous sur tard temps texte toujours tout trop trouver un une utiliser utilisez veuillez vérifier version vérifiez visiter voir vos votre vous y plutôt cours
 # de
-ab aber alle als am an anmelden angefordert angeforderte anzeigen anzusehen auch auf aufgerufen aufrufen aus bald bei bis bitte da damit danach dann das dass dem den der derzeit des die dies diese diesem diesen dieser dieses dort du ein eine einem einen einer eines einmal erneut erst es etwas fehler fortfahren fortzufahren fort für gefunden gerade geöffnet gleich haben hat hier
-ich ihr ihre ihrem ihren ihrer im immer in ist ja jetzt kann kein keine können konnte layout laden leider lassen mal man mehr mensch minuten mit möglich moment nach neu neue neuere nicht nichts noch nun nur nutzen ob oder öffnen oops ort prüfen region roboter schritt sehen sein seite seiten sekunden selbst server sich sicherheit sie sind so sobald sollte sowie später suche
-text über überprüfen um und uns unser unsere unter version versuchen verwenden vom von vor vorübergehend wann war warten was weiter wenn werden wieder wir wird wurde wurden zeigen zu zum zur zurück zurzeit verbindung
+ab aber alle als am an anmelden angefordert angeforderte anzeigen anzusehen auch auf beim bevor aufgerufen aufrufen aus bald bei bis bitte da damit danach dann das dass dem den der derzeit des die dies diese diesem diesen dieser dieses dort du ein eine einem einen einer eines einmal erneut erst es etwas fehler fortfahren fortzufahren fort für gefunden gerade geöffnet gleich haben hat hier
+ich ihm ihn ihr ihre ihrem ihren ihrer im immer in ist ja jetzt kann kennung kein keine können konnte layout laden leider lassen mal man mehr mensch minuten mit möglich moment nach neu neue neuere nicht nichts noch nun nur nutzen ob oder öffnen oops ort prüfen region roboter schritt sehen sein seite seiten sekunden selbst server sich sicherheit sie sind so sobald sollte sowie später suche
+text über überprüfen um und uns unser unsere unter version versuchen verwenden vom von vor vorgang vorübergehend wann war warten was weiter wenn werden wieder wir wird wurde wurden zeigen zu zum zur zurück zurzeit verbindung
 """
 # Words of the Latin filler text.
 FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et
@@ -122,12 +122,13 @@ PLACEHOLDER = re.compile(
 # Words by which a sentence tells of placeholders instead of having one left over.
 TELLS = re.compile(r"\b(?:template|placeholder|plantilla|marcador|modèle|gabarit|vorlage|platzhalter|bản mẫu|khuôn mẫu)\b", re.I)
 #: Share of a sentence's words that must be those of messages; the share of a line's letters in matched sentences.
-COVERAGE, LINE_COVERAGE = 0.75, 0.5
+COVERAGE, LINE_COVERAGE = 0.8, 0.5
 #: A line is residue from this many placeholders.
 LINE_PLACEHOLDERS = 2
 #: A record goes where residue lines are this share of the characters that stand for its article.
 RECORD_COVERAGE = 0.02
 _WORD, _SENTENCE = re.compile(r"[^\W_]+(?:['’][^\W_]+)*"), re.compile(r"(?<=[.!?…;:])\s+|\s[-–—|·]\s")
+_SPACES = re.compile(r"\s{2,}|[^\S ]")
 _SPLIT = re.compile(r",\s+")
 
 
@@ -145,13 +146,15 @@ def automaton():
         for side, text in enumerate(sides):
             for part in _parts(text):
                 marks[part] = marks.get(part, 0) | 1 << 2 * k + side
-    alone = 1 << 2 * len(FAMILIES)
     for part in _parts(PHRASES):
-        marks[part] = marks.get(part, 0) | alone
+        marks[part] = marks.get(part, 0) | (WORD if " " not in part and len(part) < 9 else ALONE)
     found = ahocorasick.Automaton()
     for part, mark in marks.items():
         text = part.rstrip("*")
         found.add_word(text, (len(text), mark, part.endswith("*")))
+    for word in FILLER:
+        if len(word) >= 5:
+            found.add_word(word, (len(word), FILL, False))
     found.make_automaton()
     return found
 
@@ -170,7 +173,10 @@ def message_stems() -> tuple[str, ...]:
     return tuple(sorted({p.rstrip("*").split()[-1] for sides in FAMILIES.values() for side in sides for p in _parts(side) if p.endswith("*")}))
 
 
+#: A message about a part beside the article says nothing of the article.
+BESIDE = re.compile(r"\b(?:comment|comments|kommentare?|commentaires?|comentarios?|bình luận|newsletter|ads?|advert\w*|werbung|anzeigen|publicité|publicidad|quảng cáo|cookie policy)\b")
 _FILLER = frozenset(FILLER)
+ALONE, WORD, FILL = (1 << 2 * len(FAMILIES) + k for k in range(3))
 _NAMED = sum(1 << 2 * k for k in range(len(FAMILIES)))
 
 
@@ -210,10 +216,10 @@ def spans(low: str) -> list[tuple[int, int, int]]:
 
 def complete(marks: int) -> bool:
     """Whether both sides of a family, or a family of one part, are among the marks."""
-    return bool(marks >> 2 * len(FAMILIES)) or bool(marks & marks >> 1 & _NAMED)
+    return bool(marks & (ALONE | WORD)) or bool(marks & marks >> 1 & _NAMED)
 
 
-def _marks(found: list[tuple[int, int, int]], low: str) -> int:
+def _marks(found: list[tuple[int, int, int]]) -> int:
     """The marks of parts, each side of a family by a place of its own."""
     got = 0
     for start, end, mark in found:
@@ -226,7 +232,7 @@ def _marks(found: list[tuple[int, int, int]], low: str) -> int:
 
 @lru_cache(maxsize=200_000)
 def _is_message_word(word: str) -> bool:
-    return word in message_words() or word.isdigit() or word.startswith(message_stems())
+    return word in message_words() or any(c.isdigit() for c in word) or word.startswith(message_stems()) or len(word) > 1 and word == word[0] * len(word)
 
 
 def _sentence_share(low: str) -> float:
@@ -243,17 +249,25 @@ def matched(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences of a line that are messages, or filler."""
     low = _plain(text)
     found = spans(_CODES.sub(r"\1##", low))
-    everything = _marks(found, low)
-    filler = [m.span() for m in _WORD.finditer(low) if m.group() in _FILLER] if "ipsum" in low or "lorem" in low or _latin(low) else []
-    if not complete(everything) and not filler:
+    filler = [m.span() for m in _WORD.finditer(low) if m.group() in _FILLER] if sum(m == FILL for _, _, m in found) >= 2 else []
+    if not complete(_marks(found)) and not filler:
         return []
+    # what a template left open is judged by itself
+    if "{" in low or "%" in low or _MARKS.search(low):
+        low = PLACEHOLDER.sub(lambda m: " " * len(m.group()), text)
+        low = _plain(low)
     out, at, latest = [], 0, False
     bounds = [*[(m.start(), m.end()) for m in _SENTENCE.finditer(text)], (len(text), len(text))]
     for stop, after in bounds:
-        own = [s for s in found if at <= s[0] and s[1] <= stop and not quoted(text, s[0], s[1])]
+        if BESIDE.search(low, at, stop):
+            at, latest = after, False
+            continue
+        single = sum(bool(m & WORD) for a, b, m in found if at <= a and b <= stop)
+        weak = single and 3 * single < len(_WORD.findall(low, at, stop))
+        own = [(a, b, m & ~WORD if weak else m) for a, b, m in found if at <= a and b <= stop and not quoted(text, a, b)]
         share = _sentence_share(low[at:stop])
         # what follows a message and is made of its words belongs to it
-        if share >= COVERAGE and complete(_marks(own, low)) or latest and share >= 0.8:
+        if share >= COVERAGE and complete(_marks(own)) or latest and share >= 0.8:
             out.append((at, stop))
             latest = True
         else:
@@ -264,12 +278,6 @@ def matched(text: str) -> list[tuple[int, int]]:
     return [s for s in out if not quoted(text, *s)]
 
 
-def _latin(low: str) -> bool:
-    """Whether at least half of a line's words are those of the Latin filler."""
-    words = low.split()
-    return len(words) >= 2 and 2 * sum(w.strip(".,;:!?") in _FILLER for w in words) >= len(words)
-
-
 def holders(text: str) -> list[tuple[int, int]]:
     """Spans of placeholders outside quotation marks."""
     return [m.span() for m in PLACEHOLDER.finditer(text) if not quoted(text, *m.span())] if _MARKS.search(text) else []
@@ -295,7 +303,7 @@ def coverage(text: str) -> tuple[float, int]:
 @lru_cache(maxsize=50_000)
 def is_residue(text: str) -> bool:
     """Whether a line is residue by its matched coverage. Lines repeat, and are asked for more than once."""
-    share, left = coverage(" ".join(text.split()))
+    share, left = coverage(_SPACES.sub(" ", text))
     return left >= LINE_PLACEHOLDERS or share >= LINE_COVERAGE
 
 

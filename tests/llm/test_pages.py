@@ -22,6 +22,9 @@ It goes on here, and ends.</div>
 <p class="foot">All rights reserved.</p>"""
 
 
+NONE = S.Nodes(set(), set())
+
+
 def test_lines_of_a_page():
     lines = P.lines_of(PAGE)
     assert [l.no for l in lines] == list(range(1, len(PAGE.split("\n")) + 1))
@@ -32,8 +35,8 @@ def test_lines_of_a_page():
 
 
 def test_article_of_a_page():
-    low = {S.code("all rights reserved")}
-    assert S.article_lines(P.lines_of(PAGE), None, "sitename", low, set()) == [12, 13, 14, 16]
+    low = S.Nodes({S.node_code("all rights reserved")}, set())
+    assert S.article_lines(P.lines_of(PAGE), None, "sitename", low) == [12, 13, 14, 16]
 
 
 def test_placeholders_of_plain_texts_are_no_markup():
@@ -108,9 +111,9 @@ def test_languages_count_the_pages_of_both_tables(spark, root, monkeypatch):
 
 def test_noscript_alone_stands_for_the_article():
     alone = "<html><body>\n<noscript>Please enable JavaScript to view this page.</noscript>\n</body></html>"
-    assert S._decide(alone, None, "", set(), set())[2]
-    assert not S._decide(PAGE + "\n<noscript>Please enable JavaScript to view this page.</noscript>", None, "", set(), set())[2]
-    assert not S._decide('<html><body>\n<a href="/">Home</a>\n</body></html>', None, "", set(), set())[2]
+    assert S._decide(alone, None, "", NONE)[2]
+    assert not S._decide(PAGE + "\n<noscript>Please enable JavaScript to view this page.</noscript>", None, "", NONE)[2]
+    assert not S._decide('<html><body>\n<a href="/">Home</a>\n</body></html>', None, "", NONE)[2]
 
 
 def test_long_notices_differ_by_site_and_month_only():
@@ -121,7 +124,36 @@ def test_long_notices_differ_by_site_and_month_only():
 def test_nodes_of_a_large_host_follow_importance_alone(spark):
     docs = spark.range(8000).selectExpr("'big.example' as site", "if(id < 38, 'Read our rules of the house', '') as text")
     got = {r.site: len(r.nodes) for r in S.unimportant_nodes(docs).collect()}
-    assert S.importance(38, 8000) < S.IMPORTANCE and got["big.example"] >= 1
+    assert S.importance(38, 8000) < S.IMPORTANCE and got[S.code("big.example")] >= 1
+
+
+def test_branches_of_a_host_are_judged_by_the_importance_of_what_stands_in_them(spark):
+    # a layout of its own: an unimportant branch takes a line with it that no other page has, an important one keeps a repeated element
+    rows = []
+    for i in range(40):
+        extra = "<li>Seen on this page alone, and nowhere else on this host</li>" if i == 7 else ""
+        rows.append((i, f"https://layout.example/{i}", None, f"""<html><body>
+<section class="q"><ul>
+<li>First of the house</li>
+<li>Second of the house</li>
+<li>Third of the house</li>
+{extra}
+</ul></section>
+<div class="z">
+<p>The {chr(97 + i % 26) * 4} firm number {i} explained at length what happened to its {chr(98 + i % 25) * 5} customers.</p>
+<p>It was {chr(97 + i // 2) * 6} who asked for it, and nobody in {chr(99 + i % 20) * 7} answered for a week.</p>
+</div>
+</body></html>"""))
+    docs = S.documents_of(spark.createDataFrame(rows, "norm_id long, canonical_url string, title string, text string"), "t", "norm_id", "canonical_url", "text")
+    low = {r.site: set(r.styles) for r in S.unimportant_nodes(docs).collect()}[S.code("layout.example")]
+    nodes = P.lines_of(rows[7][3])[2].nodes
+    assert nodes == (">html>body>section.q>ul/li", ">html>body>section.q>ul") and set(S.style_codes(nodes)) <= low
+    assert low.isdisjoint(S.style_codes(P.lines_of(rows[7][3])[8].nodes))
+    got = {r.record_id: r.lines for r in S.extract(docs).collect()}
+    assert set(map(tuple, got.values())) == {(9, 10)}
+    # without the branches the line stays
+    numbers, _, _ = S._decide(rows[7][3], None, "layout.example", NONE)
+    assert 6 in numbers
 
 
 def test_extract_of_nothing(spark):

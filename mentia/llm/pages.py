@@ -36,12 +36,12 @@ def plain_lines(text: str) -> list[Line]:
 
 def page_lines(body: str) -> list[Line]:
     """One leaf a physical line. Elements that stay open go on over the next lines."""
-    out, stack, hidden, serial, carried = [], [("", 0, "")], [], 0, ""
+    out, stack, hidden, serial, carried = [], [("", (), "")], [], 0, ""
     for no, raw in enumerate(body.split("\n"), 1):
         if "<!" in raw:
             raw = _COMMENT.sub("", raw)
         texts, last, style, heading = [], 0, "", False
-        path, inside = tuple([n for _, n, _ in stack[1:]]), stack[-1][2]
+        _, path, inside = stack[-1]
         for m in _TAG.finditer(raw):
             if not hidden:
                 texts.append(raw[last : m.start()])
@@ -50,6 +50,8 @@ def page_lines(body: str) -> list[Line]:
             if closing:
                 if hidden and hidden[-1] == name:
                     hidden.pop()
+                elif stack[-1][0] == name:
+                    stack.pop()
                 elif any([name == n for n, _, _ in stack]):
                     while stack.pop()[0] != name:
                         pass
@@ -65,14 +67,14 @@ def page_lines(body: str) -> list[Line]:
             heading = heading or name == "h1"
             if block:
                 serial += 1
-                stack.append((name, serial, f"{stack[-1][2]}>{own}"))
+                stack.append((name, (*stack[-1][1], serial), f"{stack[-1][2]}>{own}"))
         if not hidden:
             texts.append(raw[last:])
         text = "".join(texts)
         text = (html.unescape(text) if "&" in text else text).replace("\xa0", " ").strip()
         # an element that starts and ends on the line is the leaf itself
-        if len(stack) - 1 > len(path):
-            path, inside = tuple([n for _, n, _ in stack[1:]]), stack[-1][2]
+        if len(stack[-1][1]) > len(path):
+            _, path, inside = stack[-1]
         carried = style or carried
         leaf = style or (carried if text else "")
         out.append(Line(no, text, leaf, path, heading, "<a " in raw and _only_link(raw), (f"{inside}/{leaf}", inside) if text else ()))
@@ -156,12 +158,14 @@ def label(text: str) -> str:
     The words before a mark must be more than one and not all capitalised: "Read also: ..." is a label,
     a name before a colon is none. What follows a mark must start like a title and end like one.
     """
+    if len(text) > 90 and len(text.split(None, 6)) > 6:
+        return ""
     text = " ".join(text.split())
     m = _CREDIT.match(text)
     if m and (m.group(2).istitle() or text.isupper()):
         return "b:" + m.group(1).lower()
     m = _LABEL.match(text)
-    if not m or len(text) > 90 or m.group(2)[0].islower() or SENTENCE_END.search(text):
+    if not m or len(text) > 90 or m.group(2)[0].islower() or ends_sentence(text):
         return ""
     head = m.group(1).split()
     if not 2 <= len(head) <= 5 or not (text.isupper() or any(w[0].islower() for w in head)):
@@ -172,3 +176,11 @@ def label(text: str) -> str:
 HANDLE = re.compile(r"^@?[\w.-]*\d[\w.-]*\s*:\s|^@[\w.-]+\s*:\s")
 BULLET = re.compile(r"^\s*(?:[•*·‣–—-]\s+|\d+[.)]\s+)")
 SENTENCE_END = re.compile(r"[.!?…][\"'»”’)]*\s*$")
+
+
+def ends_sentence(text: str) -> bool:
+    """What SENTENCE_END finds, without looking through the text."""
+    return text.rstrip().rstrip("\"'»”’)")[-1:] in _ENDS
+
+
+_ENDS = frozenset(".!?…")

@@ -205,12 +205,11 @@ _CODES = re.compile(r"\b([45])\d\d\b")
 
 def spans(low: str) -> list[tuple[int, int, int]]:
     """(start, end, marks) of the parts in a lower-case text."""
-    out = []
-    for end, (size, mark, open_end) in automaton().iter(low):
-        start, end = end - size + 1, end + 1
-        if start and low[start - 1].isalnum() and low[start].isalnum() or not open_end and end < len(low) and low[end].isalnum() and low[end - 1].isalnum():
-            continue
-        out.append((start, end, mark))
+    out, n = [], len(low)
+    for last, (size, mark, open_end) in automaton().iter(low):
+        start, end = last - size + 1, last + 1
+        if (start == 0 or not (low[start - 1].isalnum() and low[start].isalnum())) and (open_end or end >= n or not (low[end].isalnum() and low[last].isalnum())):
+            out.append((start, end, mark))
     return out
 
 
@@ -249,6 +248,8 @@ def matched(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences of a line that are messages, or filler."""
     low = _plain(text)
     found = spans(_CODES.sub(r"\1##", low))
+    if not found:
+        return []
     filler = [m.span() for m in _WORD.finditer(low) if m.group() in _FILLER] if sum(m == FILL for _, _, m in found) >= 2 else []
     if not complete(_marks(found)) and not filler:
         return []
@@ -289,6 +290,11 @@ def coverage(text: str) -> tuple[float, int]:
     found = matched(text) + left
     if not found:
         return 0.0, 0
+    return _share(text, found), len(left)
+
+
+def _share(text: str, found: list[tuple[int, int]]) -> float:
+    """Share of the letters and digits of a line inside spans."""
     marked = bytearray(len(text))
     for a, b in found:
         marked[a:b] = b"\1" * (b - a)
@@ -297,7 +303,7 @@ def coverage(text: str) -> tuple[float, int]:
         if c.isalnum():
             total += 1
             hit += marked[i]
-    return (hit / total if total else 0.0), len(left)
+    return hit / total if total else 0.0
 
 
 @lru_cache(maxsize=50_000)
@@ -307,6 +313,14 @@ def is_residue(text: str) -> bool:
     return left >= LINE_PLACEHOLDERS or share >= LINE_COVERAGE
 
 
+@lru_cache(maxsize=50_000)
+def _is_message(text: str) -> bool:
+    """``is_residue`` of a line without marks of placeholders."""
+    text = _SPACES.sub(" ", text)
+    found = matched(text)
+    return bool(found) and _share(text, found) >= LINE_COVERAGE
+
+
 def in_place_of_content(lines: list[str]) -> bool:
     """Whether residue stands in place of an article or of a part of it, given the article's lines.
 
@@ -315,8 +329,9 @@ def in_place_of_content(lines: list[str]) -> bool:
     share of the characters that counts is RECORD_COVERAGE.
     """
     total = sum(map(len, lines))
-    bad = sum(len(text) for text in lines if is_residue(text) and not TELLS.search(text))
+    joined = " ".join(lines)
+    judge = is_residue if _MARKS.search(joined) else _is_message
+    bad = sum(len(text) for text in lines if judge(text) and not TELLS.search(text))
     if bad:
         return bad >= RECORD_COVERAGE * total
-    joined = " ".join(lines)
-    return any(not TELLS.search(joined, max(0, a - 80), b + 80) for a, b in holders(joined))
+    return judge is is_residue and any(not TELLS.search(joined, max(0, a - 80), b + 80) for a, b in holders(joined))

@@ -129,7 +129,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def _set_apart(line: P.Line) -> bool:
     """Whether a line's kind makes it furniture beside an article."""
-    return line.link or line.style.startswith("noscript") or bool(P.HANDLE.match(line.text))
+    return line.link or line.style.startswith("noscript") or ":" in line.text and bool(P.HANDLE.match(line.text))
 
 
 def article_lines(lines: list[P.Line], title: str | None, name: str, nodes: Nodes, branches: set[int] = frozenset()) -> list[int]:
@@ -176,8 +176,8 @@ def _bodies(lines: list[P.Line], kept: list[int], headline: int | None) -> list[
         text = lines[i].text
         if i == headline:
             continue
-        goes_on = bool(out) and out[-1] == i - 1 and len(lines[i - 1].text) >= 45 and not P.SENTENCE_END.search(lines[i - 1].text)
-        if goes_on or len(text) >= 60 or P.SENTENCE_END.search(text) and len(text.split()) >= 3 or is_residue(text):
+        goes_on = bool(out) and out[-1] == i - 1 and len(lines[i - 1].text) >= 45 and not P.ends_sentence(lines[i - 1].text)
+        if goes_on or len(text) >= 60 or P.ends_sentence(text) and len(text.split()) >= 3 or is_residue(text):
             out.append(i)
     return out
 

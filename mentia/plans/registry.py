@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentia.plans import general, reference
+from mentia.plans import alerts, general, reference
 
+assert alerts.QUERIES is reference.QUERIES
 flagship = reference.flagship
 
 

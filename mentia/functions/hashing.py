@@ -27,6 +27,13 @@ def user_shard(email: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.unhex(F.sha2(F.lower(F.trim(email)), 256))), "+/=", "-_"))
 
 
+def retry_delay(attempt: Column, key: Column, base: int = 500, cap: int = 30_000) -> Column:
+    """Milliseconds to wait: doubling from ``base`` up to ``cap``, and up to a fifth more by the hash of ``key``, so that a retry can be repeated."""
+    plain = F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(F.greatest(F.lit(0), attempt), F.lit(40))))
+    share = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint"), F.lit(1000)) / 1000
+    return (plain + F.floor(plain * 0.2 * share)).cast("bigint")
+
+
 def fnv1a(text: Column) -> Column:
     """struct(hi, lo): 64-bit FNV-1a of a text's UTF-8 bytes as unsigned 32-bit limbs.
 

@@ -62,5 +62,28 @@ def on_hosts(url: Column, domains: list[str]) -> Column:
     return out
 
 
+# The places a monitor's profile can name, in their order.
+PROFILE_KEYS = ("website", "facebook", "x", "linkedin", "youtube", "tiktok", "instagram", "reddit")
+
+
+def http_url(text: Column) -> Column:
+    """An address as someone types it: https where no scheme is given, a slash for no path; null unless http with a dot in its host."""
+    bare = F.trim(text)
+    full = F.when(F.contains(bare, F.lit("://")), bare).otherwise(F.concat(F.lit("https://"), bare))
+    made = F.concat(F.lower(part(full, 1)), F.lit("://"), F.lower(part(full, 2)), F.when(part(full, 3) == "", "/").otherwise(part(full, 3)), part(full, 4), part(full, 5))
+    return F.when(F.lower(part(full, 1)).isin("http", "https") & F.contains(host(full), F.lit(".")), made)
+
+
+def profile_seeds(profile: Column) -> Column:
+    """array<struct<key,url>> of a map of profile entries, in the order of PROFILE_KEYS; entries that are no address are left out."""
+    rows = F.array(*(F.struct(F.lit(k).alias("key"), http_url(F.element_at(profile, k)).alias("url")) for k in PROFILE_KEYS))
+    return F.filter(rows, lambda r: r["url"].isNotNull())
+
+
+def merge_key(url: Column) -> Column:
+    """What makes two feed addresses one: lower case, no slashes at the end."""
+    return F.regexp_replace(F.lower(F.trim(url)), "/+$", "")
+
+
 def strip_api_prefix(path: Column) -> Column:
     return F.when(path.rlike("^/api(?:/|$)"), F.coalesce(F.nullif(F.regexp_replace(path, "^/api", ""), F.lit("")), F.lit("/"))).otherwise(path)

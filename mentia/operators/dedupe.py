@@ -22,9 +22,15 @@ def latest_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataF
     return _ranked(df, keys, [o.desc() for o in order]).filter("__n = 1").drop("__n")
 
 
-def top_per(df: DataFrame, keys: list[Column], order: list[Column], most: int) -> DataFrame:
-    """At most ``most`` rows of each key."""
-    return _ranked(df, keys, order).filter(F.col("__n") <= most).drop("__n")
+def top_per(df: DataFrame, keys: list[Column], order: list[Column], most: int, place: str | None = None) -> DataFrame:
+    """At most ``most`` rows of each key; with their ``place``, a bigint from 1, if it is named."""
+    rows = _ranked(df, keys, order).filter(F.col("__n") <= most)
+    return (rows.withColumn(place, F.col("__n").cast("bigint")) if place else rows).drop("__n")
+
+
+def clamp_threshold(bits: int) -> int:
+    """A threshold of Hamming distances within its bounds."""
+    return max(0, min(32, bits))
 
 
 def _ranked(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:

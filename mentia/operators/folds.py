@@ -120,3 +120,18 @@ def domain_tokens(df: DataFrame, key: str = "domain", order: tuple[str, ...] = (
         return {key: row[key], "seq": row["seq"], "granted": granted, "retry_ms": 0 if granted else max(250, blocked - now)}
 
     return fold(df, [key], list(order), lambda: {"out": 0, "next": 0, "backoff": 0}, step, f"`{key}` string, seq bigint, granted boolean, retry_ms bigint")
+
+
+def pool_tokens(df: DataFrame, key: str = "pool", order: tuple[str, ...] = ("at_ms", "seq"), most: int = 100) -> DataFrame:
+    """(key, seq, granted, active) of acquire rows: a token is granted while fewer than ``most`` (110 at the utmost) are out; releases give one back."""
+    most = max(1, min(110, most))
+
+    def step(state: dict, row: dict):
+        if row["kind"] == "release":
+            state["out"] = max(state["out"] - 1, 0)
+            return None
+        granted = state["out"] < most
+        state["out"] += granted
+        return {key: row[key], "seq": row["seq"], "granted": granted, "active": state["out"]}
+
+    return fold(df, [key], list(order), lambda: {"out": 0}, step, f"`{key}` string, seq bigint, granted boolean, active int")

@@ -45,7 +45,8 @@ P6_SQL = r"""
 WITH a AS (
   SELECT 'crawl_jobs' AS record_table, job_id AS i, received_at, message_id FROM crawl_jobs
   UNION ALL SELECT 'alert_messages', alert_id, received_at, message_id FROM alert_messages),
-k AS (SELECT *, replace(regexp_replace(regexp_replace(lower(i), '[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}{}()]', '', 'g'), '^(?:urn:)?(?:uuid:)?', ''), '-', '') AS k FROM a WHERE i IS NOT NULL)
+b AS (SELECT *, regexp_replace(regexp_replace(lower(i), '[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}{}()]', '', 'g'), '^(?:urn:)?(?:uuid:)?', '') AS bare FROM a WHERE i IS NOT NULL),
+k AS (SELECT *, CASE WHEN regexp_matches(replace(bare, '-', ''), '^[0-9a-f]{32}$') THEN replace(bare, '-', '') ELSE bare END AS k FROM b)
 SELECT record_table, message_id FROM (
   SELECT *, row_number() OVER (PARTITION BY record_table, k ORDER BY received_at, message_id) AS n FROM k WHERE k <> '') WHERE n > 1
 """

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentia.plans import alerts, general, reference
+from mentia.plans import alerts, general, intake, reference
 
-assert alerts.QUERIES is reference.QUERIES
+# each module adds its queries to one registry
+assert alerts.QUERIES is intake.QUERIES is reference.QUERIES
 flagship = reference.flagship
 
 

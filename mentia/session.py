@@ -30,12 +30,14 @@ def get_session(app: str = "mentia", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in local tests, a temporary folder is created once and
-    registered as the checkpoint directory of the session.
+    Where the setting is absent and the master is local, as in tests, a temporary folder is created once
+    and registered as the checkpoint directory of the session. On a cluster it must be set.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="mentia-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -35,21 +35,55 @@ def suppressed(stream: DataFrame, at: str, keys: list[str], late: str = "1 hour"
 def once_only(stream: DataFrame, store: SeenStore, write: Callable[[DataFrame, int], None], checkpoint: str, name: str = "messages", ident: str = "job_id") -> StreamingQuery:
     """Deliveries handed on once: each micro-batch accepts unseen identifiers of the store.
 
-    A batch that is run again after a loss writes the same rows: its accepted messages are kept in the
-    store, under the batch's number, before they are written.
+    The store's mark names the micro-batch, and the accepted messages are part of what it makes current. A batch that is
+    run again after a loss, wherever it was lost, is given the same messages and writes the same rows; ``write`` must
+    replace what it wrote for the batch's number.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark, path = batch.sparkSession, f"{store.path}/batch-{number}"
-        if not store._fs.exists(store._Path(path + "/_SUCCESS")):
-            rows = batch.select(F.lit(name).alias("name"), F.col(ident).alias("ident"), "received_at", "message_id")
-            store.accept(rows).write.mode("overwrite").parquet(path)
-        kept = spark.read.parquet(path).select("message_id")
+        rows = batch.select(F.lit(name).alias("name"), F.col(ident).alias("ident"), "received_at", "message_id")
+        kept = store.accept(rows, f"{name}-{number}").filter(F.col("name") == name).select("message_id")
         write(batch.join(kept, "message_id", "left_semi"), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def with_dead_letters(stream: DataFrame, usable: Column, write: Callable[[DataFrame, int], None], dead: str, checkpoint: str, retries: int = 3) -> StreamingQuery:
+    """Rows that can be used are written, with so many retries; those that can't are kept below ``dead`` by batch, with what was wrong.
+
+    A batch that fails every time goes to ``dead`` as a whole, so that the ones behind it go on.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        reason = F.when(F.coalesce(usable, F.lit(False)), F.lit(None).cast("string")).otherwise("unusable")
+        marked = batch.withColumn("__reason", reason)
+        failed = None
+        for _ in range(1 + retries):
+            try:
+                write(marked.filter("__reason is null").drop("__reason"), number)
+                failed = None
+                break
+            except Exception as e:  # the batch must not end the stream
+                failed = f"{type(e).__name__}: {e}"[:500]
+        left = marked.filter("__reason is not null") if failed is None else marked.withColumn("__reason", F.coalesce("__reason", F.lit(failed)))
+        left.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def matched_in_time(left: DataFrame, right: DataFrame, key: str, at: tuple[str, str], within: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Rows of two streams of the same key, the right one at most ``within`` after the left: old state is dropped on both sides."""
+    l_at, r_at = at
+    a = left.withWatermark(l_at, late).withColumnRenamed(key, "__key")
+    b = right.withWatermark(r_at, late)
+    return a.join(b, (F.col("__key") == F.col(key)) & (F.col(r_at) >= F.col(l_at)) & (F.col(r_at) <= F.col(l_at) + F.expr(f"interval {within}"))).drop("__key")
+
+
+def every_minute(stream: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str, minutes: int = 1) -> StreamingQuery:
+    """``tick`` on what came in, every so many minutes."""
+    return stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()
+
+
 def latest_by_key(stream: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """(key, at, value): last value of each key so far, kept as state; a change comes out as it is met."""
     import pandas as pd

@@ -68,29 +68,69 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return (F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))).cast("int")
 
 
-def hashed_tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, n, hi, lo): counts and FNV of each document's tokens. Each different token is hashed once."""
-    counts = df.select(F.col(key), F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    vocabulary = counts.select("token").distinct().select("token", fnv1a(F.col("token")).alias("h"))
-    return counts.join(vocabulary, "token").select(key, "n", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"))
+def _fnv(token: str, known: dict[str, int]) -> int:
+    h = known.get(token)
+    if h is None:
+        h = _START_HI << 32 | _START_LO
+        for byte in token.encode():
+            h = (h ^ byte) * ((1 << 40) + _PRIME_LOW) & 0xFFFFFFFFFFFFFFFF
+        if len(known) >= 200_000:
+            known.clear()
+        known[token] = h
+    return h
+
+
+def _by_document(df: DataFrame, key: str, tokens: Column, make, ddl: str) -> DataFrame:
+    """Rows that ``make(hashes)`` gives for the FNV hashes of each document's tokens, in Arrow batches.
+
+    A document is hashed where it is: no token is shuffled, so that none is a hot key. Workers remember a bounded number.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known: dict[str, int] = {}
+        for batch in batches:
+            made = [make(np.array([_fnv(t, known) for t in row or ()], np.uint64)) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * len(types), types))], [key, *names])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    names, types = schema.names, schema.types
+    return df.select(key, tokens.alias("__tokens")).mapInArrow(run, f"`{key}` {kind}, {ddl}")
 
 
 def simhash(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, sim_hi, sim_lo): a bit is set where more of a document's tokens have it than not; 0 without tokens."""
-    hashed = hashed_tokens(df, key, tokens)
-    sign = lambda limb, bit: F.sum(F.col("n") * (2 * F.shiftright(F.col(limb), bit).bitwiseAND(F.lit(1)) - 1))
-    sums = hashed.groupBy(key).agg(*(sign(limb, bit).alias(f"{limb}{bit}") for limb in ("hi", "lo") for bit in range(32)))
-    made = lambda limb: reduce(lambda a, b: a + b, (F.when(F.col(f"{limb}{bit}") > 0, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for bit in range(32)))
-    signed = sums.select(key, made("hi").alias("sim_hi"), made("lo").alias("sim_lo"))
-    return df.select(key).distinct().join(signed, key, "left").fillna(0, ["sim_hi", "sim_lo"])
+
+    def make(hashes):
+        import numpy as np
+
+        if not len(hashes):
+            return 0, 0
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        word = int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
+        return word >> 32, word & _LOW32
+
+    return _by_document(df, key, tokens, make, "sim_hi bigint, sim_lo bigint")
 
 
 def hashed_embedding(df: DataFrame, key: str, tokens: Column, size: int = 64) -> DataFrame:
     """(key, place, value): hashed bag of tokens with signs from the top bit, scaled to length 1; zeros left out."""
-    hashed = hashed_tokens(df, key, tokens).withColumns({"place": F.pmod(F.col("lo"), F.lit(size)).cast("int"), "signed": F.col("n") * (1 - 2 * F.shiftright("hi", 31))})
-    cells = hashed.groupBy(key, "place").agg(F.sum("signed").alias("value")).filter("value <> 0")
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value")).cast("double")).alias("norm"))
-    return cells.join(norms, key).select(key, "place", (F.col("value") / F.col("norm")).alias("value"))
+
+    def make(hashes):
+        import numpy as np
+
+        sums = np.bincount((hashes % np.uint64(size)).astype(np.int64), 1.0 - 2.0 * (hashes >> np.uint64(63)).astype(float), size)
+        at = np.flatnonzero(sums)
+        norm = float(np.sqrt((sums * sums).sum())) or 1.0
+        return ([{"place": int(i), "value": float(sums[i] / norm)} for i in at],)
+
+    return _by_document(df, key, tokens, make, "cells array<struct<place:int,value:double>>").select(key, F.inline("cells"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

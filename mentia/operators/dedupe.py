@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mentia.functions.hashing import hamming, jaccard
@@ -43,23 +46,33 @@ def insert_absent(new: DataFrame, target: DataFrame, keys: list[str], order: lis
     return first_wins(new, [F.col(k) for k in keys], order).join(target.select(*keys), keys, "left_anti")
 
 
-def band_rows(sims: DataFrame, key: str, threshold: int = 3) -> DataFrame:
-    """(key, sim_hi, sim_lo, band, value): threshold + 1 bands of a 64-bit SimHash.
+def band_rows(sims: DataFrame, key: str, threshold: int = 3, spare: int = 3) -> DataFrame:
+    """(key, sim_hi, sim_lo, band, value): the tables of a search within ``threshold`` bits of a 64-bit SimHash.
 
-    Two hashes within ``threshold`` bits agree in one band at least, so an equi-join on bands is exact.
-    Zero hashes, those of empty texts, are left out: they would all meet in one bucket.
+    The bits are cut into threshold + ``spare`` blocks; a table's key is ``spare`` of them. Two hashes within the
+    threshold agree in that many blocks at least, so an equi-join on the keys is exact, and with 3 and 3 the 20 keys
+    have some 32 bits each: unlike hashes seldom meet, however many there are. Zero hashes, those of empty texts,
+    are left out: they would all meet in one bucket.
     """
-    bands, width = threshold + 1, -(-64 // (threshold + 1))
-    value = []
-    for b in range(bands):
-        low, high = b * width, min(64, (b + 1) * width)
+    blocks = threshold + spare
+    bounds = [round(64 * k / blocks) for k in range(blocks + 1)]
+
+    def limb_bits(low: int, high: int) -> list[tuple[Column, int]]:
         runs, at = [], low
         while at < high:
             stop = min(high, 32 if at < 32 else 64)
             limb = F.col("sim_lo") if at < 32 else F.col("sim_hi")
-            runs.append(F.shiftleft(F.shiftright(limb, at % 32).bitwiseAND(F.lit((1 << (stop - at)) - 1)), at - low))
+            runs.append((F.shiftright(limb, at % 32).bitwiseAND(F.lit((1 << (stop - at)) - 1)), stop - at))
             at = stop
-        value.append(F.struct(F.lit(b).alias("band"), sum(runs[1:], runs[0]).alias("value")))
+        return runs
+
+    value = []
+    for band, chosen in enumerate(itertools.combinations(range(blocks), spare)):
+        out = F.lit(0).cast("bigint")
+        for block in chosen:
+            for bits, width in limb_bits(bounds[block], bounds[block + 1]):
+                out = F.shiftleft(out, width).bitwiseOR(bits)
+        value.append(F.struct(F.lit(band).alias("band"), out.alias("value")))
     return sims.filter("sim_hi <> 0 or sim_lo <> 0").select(key, "sim_hi", "sim_lo", F.inline(F.array(*value)))
 
 
@@ -122,19 +135,43 @@ def title_matches(df: DataFrame, key: str, words: Column, queries: Column, least
     return met.join(a, "query_id").join(rows.select(key, F.col("w").alias("wb")), key).withColumn("overlap", jaccard(F.col("wa"), F.col("wb"))).filter(F.col("overlap") >= least).select("query_id", key, "overlap")
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, queries: Column, most: int = 10) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, queries: Column, most: int = 10, block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, key, similarity, place): the nearest rows of every query row by cosine, against all rows, exactly.
 
-    Query rows are packed in blocks, so that all rows pass each block once; every partition keeps its
-    own ``most`` before the shuffle. Rows of zero length are near to nothing.
+    Query rows are packed in blocks of a stated number; a task multiplies a batch of rows with one block as matrices
+    and keeps ``most`` a query before anything is shuffled. Rows go to tasks by block and a salt, so that few
+    blocks make no few tasks. Vectors are of one length; rows of zero length are near to nothing.
     """
+    spark = df.sparkSession
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    rows = df.select(F.col(key), F.transform(vector, lambda x: x.cast("double")).alias("v"), norm.alias("len"), queries.alias("q")).filter("len > 0")
-    count = max(1, -(-rows.filter("q").count() // BLOCK_QUERIES))
-    asked = rows.filter("q").select(F.col(key).alias("query_id"), F.col("v").alias("qv"), F.col("len").alias("ql"), F.pmod(F.xxhash64(key), F.lit(count)).alias("block"))
-    blocks = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv", "ql")).alias("qs"))
-    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(blocks, "block").select(key, "v", "len", F.explode("qs").alias("s")).filter(F.col("s.query_id") != F.col(key))
-    dot = F.aggregate(F.zip_with("v", F.col("s.qv"), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    scored = met.select(F.col("s.query_id").alias("query_id"), key, (dot / (F.col("len") * F.col("s.ql"))).alias("similarity"))
+    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double") / norm).alias("v"), norm.alias("len"), queries.alias("q")).filter("len > 0").drop("len")
+    count = max(1, -(-rows.filter("q").count() // block))
+    # a block is a bounded list, so each is read by its tasks and none is sent to all
+    asked = rows.filter("q").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
+    salts = max(1, spark.sparkContext.defaultParallelism)
+    blocks = asked.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("qs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))).alias("block"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(_, left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        out = []
+        q_ids, q = [s["id"] for s in right["qs"].iloc[0]], np.array([s["v"] for s in right["qs"].iloc[0]])
+        for at in range(0, len(left), 4096):
+            part = left.iloc[at : at + 4096]
+            ids, scores = part["id"].to_numpy(), q @ np.stack(part["v"].to_numpy()).T
+            for i, ident in enumerate(q_ids):
+                row = np.where(ids == ident, -np.inf, scores[i])
+                k = min(most, len(row))
+                # all ties of the last one stay, to be settled by their keys
+                floor = np.partition(row, len(row) - k)[len(row) - k] - 1e-8
+                near = np.flatnonzero((row >= floor) & np.isfinite(row))
+                out.append(pd.DataFrame({"query_id": ident, "id": ids[near], "similarity": row[near]}))
+        return pd.concat(out)
+
+    scored = spread.groupBy("block", "salt").cogroup(blocks.groupBy("block", "salt")).applyInPandas(run, f"query_id {kind}, id {kind}, similarity double").withColumnRenamed("id", key)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), key))
     return scored.withColumn("place", place).filter(F.col("place") <= most)

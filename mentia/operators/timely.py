@@ -42,16 +42,52 @@ def cooled(df: DataFrame, keys: list[str], at: str, minutes: int) -> DataFrame:
     return df.withColumn("__before", before).filter(F.col("__before").isNull() | (F.unix_micros(at) - F.unix_micros("__before") >= minutes * 60_000_000)).drop("__before")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: list[str], span: str = "day") -> DataFrame:
     """``left`` with the columns ``take`` of the latest ``right`` row at or before its time, null where none.
 
-    One union and one window instead of a range join; right rows stand before left rows of one time.
+    One union and windows instead of a range join; right rows stand before left rows of one time. Rows are split by
+    ``span`` too, so that a hot key is many tasks; what a span leaves behind is carried over spans, of which there
+    are few a key.
     """
-    l_rows = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast("struct<" + ",".join(f"`{c}`:{right.schema[c].dataType.simpleString()}" for c in take) + ">").alias("__got"))
+    kind = "struct<" + ",".join(f"`{c}`:{right.schema[c].dataType.simpleString()}" for c in take) + ">"
+    l_rows = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__got"))
     r_rows = right.select(*keys, at, F.lit(0).alias("__side"), F.struct(*take).alias("__got"))
-    order = Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l_rows.unionByName(r_rows, allowMissingColumns=True).withColumn("__got", F.last("__got", ignorenulls=True).over(order))
-    return both.filter("__side = 1").select(*left.columns, *(F.col(f"__got.{c}").alias(c) for c in take))
+    both = l_rows.unionByName(r_rows, allowMissingColumns=True).withColumn("__span", F.date_trunc(span, F.col(at).cast("timestamp")))
+    order = Window.partitionBy(*keys, "__span").orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__got", F.last("__got", ignorenulls=True).over(order)).filter("__side = 1")
+    # the last row of each span of the right side, carried to the spans after it
+    spans = r_rows.groupBy(*keys, F.date_trunc(span, F.col(at).cast("timestamp")).alias("__span")).agg(F.max_by("__got", F.struct(at)).alias("__last"))
+    wanted = l_rows.select(*keys, F.date_trunc(span, F.col(at).cast("timestamp")).alias("__span")).distinct().withColumn("__last", F.lit(None).cast(kind))
+    carried = F.last("__last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    before = spans.unionByName(wanted).groupBy(*keys, "__span").agg(F.first("__last", ignorenulls=True).alias("__last")).withColumn("__before", carried).drop("__last").filter("__before is not null")
+    on = [both[k].eqNullSafe(before[k]) for k in (*keys, "__span")]
+    met = both.join(before, on, "left")
+    got = F.coalesce(both["__got"], before["__before"])
+    return met.select(*(both[c] for c in left.columns), *(got[c].alias(c) for c in take))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, **quantiles: float) -> DataFrame:
+    """(keys, n, one column a quantile): discrete quantiles of a whole-number column, exactly.
+
+    Values are counted first. Ranks are found in two steps, over ranges of values and within the one that holds
+    the rank, so that no key's values are held in one task.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    # ranges double in width with the size of a value: some thousand a key, whatever the values are
+    size = F.floor(F.log2(F.abs(F.col("v").cast("double")) + 1)).cast("int")
+    slot = F.floor((F.abs(F.col("v").cast("double")) + 1) / F.pow(F.lit(2.0), size) * 64).cast("int")
+    counts = counts.withColumn("range", F.when(F.col("v") < 0, -1).otherwise(1) * (size * 128 + slot))
+    ranges = counts.groupBy(*keys, "range").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy(*keys).orderBy("range")
+    ranges = ranges.withColumns({"upto": F.sum("n").over(by), "total": F.sum("n").over(Window.partitionBy(*keys))})
+    asked = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in quantiles.items())))
+    ranges = ranges.select("*", asked).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total"))))
+    hit = ranges.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(*keys, "range", "name", "total", (F.col("rank") - F.col("upto") + F.col("n")).alias("left"))
+    hit = hit.withColumnsRenamed({k: f"__{k}" for k in (*keys, "range")})
+    inside = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("v")))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "range")]
+    found = inside.join(hit, on).filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
+    return found.groupBy(*keys).agg(F.max("total").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles))
 
 
 def claimable(status: Column, next_scan_at: Column, claimed_until: Column, now: Column) -> Column:

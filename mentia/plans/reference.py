@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from mentia.boolean import matching_queries, parse
+from mentia.boolean import matching_many, matching_queries, parse
 from mentia.boolean.language import Group, Node, Not, Term
 from mentia.functions import hashing as H, scoring as S, text as T, urls as U
 from mentia.operators import dedupe as D, timely as O
@@ -62,13 +62,13 @@ def query_matches(spark: SparkSession, root: str) -> DataFrame:
     return found.select("norm_id", F.explode("matched").alias("query_id"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT norm_id, lower(coalesce(title, ' ') || chr(10) || coalesce(text, ' ')) AS t FROM normalized_content),
+q AS (SELECT monitor_id, regexp_extract(lower(raw_query), '^"?([^" ]+)"?', 1) AS a, regexp_extract(lower(raw_query), '" or (\S+)$', 1) AS b, contains(raw_query, '(refund OR outage)') AS risky, regexp_extract(lower(raw_query), 'and not "([^"]+)"$', 1) AS n FROM monitors WHERE raw_query IS NOT NULL)
+SELECT t.norm_id, q.monitor_id FROM t JOIN q ON (contains(t.t, q.a) OR q.b <> '' AND contains(t.t, q.b)) AND (NOT q.risky OR contains(t.t, 'refund') OR contains(t.t, 'outage')) AND (q.n = '' OR NOT contains(t.t, q.n))""")
 def monitor_matches(spark: SparkSession, root: str) -> DataFrame:
-    """Texts that match each monitor's own query. Monitors are read to the driver: a dimension of fixed size."""
-    own = [(r.monitor_id, r.raw_query) for r in table(spark, root, "monitors").select("monitor_id", "raw_query").filter("raw_query is not null").toLocalIterator()]
+    """Texts that match each monitor's own query, by one automaton over the terms of all."""
     both = F.concat(F.coalesce("title", F.lit(" ")), F.lit("\n"), F.coalesce("text", F.lit(" ")))
-    found = matching_queries(table(spark, root, "normalized_content").select("norm_id", both.alias("both")), T.norm_text(F.col("both")), own)
-    return found.select("norm_id", F.explode("matched").alias("monitor_id"))
+    return matching_many(table(spark, root, "normalized_content"), "norm_id", T.norm_text(both), table(spark, root, "monitors").select("monitor_id", "raw_query"), "monitor_id", "raw_query")
 
 
 # ------------------------------------------------------------------ scores
@@ -304,7 +304,7 @@ def queue_latency(spark: SparkSession, root: str) -> DataFrame:
     """Median and 95th percentile of the time in the queue, in microseconds."""
     age = F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
     rows = table(spark, root, "crawl_jobs").filter("received_at is not null and created_at is not null").select("priority", age.alias("age"))
-    return rows.groupBy("priority").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by age)").cast("bigint").alias("p50"), F.expr("percentile_disc(0.95) within group (order by age)").cast("bigint").alias("p95"))
+    return O.exact_quantiles(rows, ["priority"], "age", p50=0.5, p95=0.95)
 
 
 # ------------------------------------------------------------------ text, addresses, hashes
@@ -347,10 +347,25 @@ def fetch_quality(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("raw_id", F.length("line").cast("bigint").alias("chars"), score.cast("bigint").alias("quality"), F.md5("line").alias("digest"))
 
 
-@query()
+def _rules_sql(x: str, *tables) -> str:
+    """The rules of readable text as nested SQL."""
+    for pattern, sign in (rule for table in tables for rule in table):
+        x = f"regexp_replace({x}, '{pattern}', '{sign.replace(chr(39), chr(39) * 2)}', 'g')"
+    return x
+
+
+_EDGES = f"^{_SPACE_SQL}+|{_SPACE_SQL}+$"
+_READ_SQL = f"""regexp_replace({_rules_sql('body', T.HIDDEN_RULES, T.BREAK_RULES, T.TAG_RULES, T.ENTITY_RULES, T.BLANK_RULES)}, '{_EDGES}', '', 'g')"""
+_PLAIN_SQL = f"""regexp_replace({_rules_sql('body', T.BLANK_RULES[:1], T.ESCAPE_RULES, T.BLANK_RULES[1:])}, '{_EDGES}', '', 'g')"""
+
+
+@query(rf"""WITH b AS (SELECT raw_id, regexp_replace(body, '{_EDGES}', '', 'g') AS body FROM raw_content WHERE body IS NOT NULL),
+t AS (SELECT raw_id, CASE WHEN regexp_matches(body, '(?is)</?[a-z].*>') THEN {_READ_SQL} ELSE {_PLAIN_SQL} END AS text FROM b),
+l AS (SELECT *, trim(regexp_replace(text, '{_SPACE_SQL}+', ' ', 'g')) AS line FROM t)
+SELECT raw_id, regexp_replace(split_part(text, chr(10), 1), '{_EDGES}', '', 'g') AS first_line, CASE WHEN length(line) <= 600 THEN line ELSE rtrim(substr(line, 1, 599)) || '…' END AS excerpt, length(text) AS chars FROM l""")
 def readable_pages(spark: SparkSession, root: str) -> DataFrame:
     """Readable text of each page, with its first line and excerpt."""
-    rows = table(spark, root, "raw_content").select("raw_id", T.readable(F.col("body")).alias("text"))
+    rows = table(spark, root, "raw_content").filter("body is not null").select("raw_id", T.readable(F.col("body")).alias("text"))
     return rows.select("raw_id", T.first_line(F.col("text")).alias("first_line"), T.excerpt(F.col("text")).alias("excerpt"), F.length("text").cast("bigint").alias("chars"))
 
 

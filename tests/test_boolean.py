@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mentia.boolean import BooleanQueryError, matches, matching_queries, parse, render, validate
+from mentia.boolean import BooleanQueryError, matches, matching_many, matching_queries, parse, render, validate
 from mentia.boolean.language import from_json, simplify_for_search, to_json, topic_tags
 
 CASES = [
@@ -48,3 +48,13 @@ def test_many_queries_and_corrupt_ones(spark):
 def test_search_text():
     assert simplify_for_search('"Acme Corp" AND (refund OR x) NOT school') == '"Acme Corp" OR refund OR school'
     assert topic_tags('"Acme Corp" AND Refund-Now') == ["acme-corp", "refund-now"]
+
+
+def test_many_by_automaton_equal_the_compiled(spark):
+    texts = ["alpha beta gamma", "beta delta", "", None, "ALPHA School".lower()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    asked = [("a", "alpha"), ("b", "NOT alpha"), ("c", "beta NOT (gamma OR delta)"), ("d", 'alpha AND NOT "alpha school"'), ("e", "lph"), ("f", "NOT NOT beta OR zeta"), ("bad", "(")]
+    want = {(r.id, q) for r in matching_queries(df, F.col("t"), asked).collect() for q in r.matched}
+    for block in (2, 100):
+        got = matching_many(df, "id", F.col("t"), spark.createDataFrame(asked, "query_id string, query string"), block=block)
+        assert {tuple(r) for r in got.collect()} == want

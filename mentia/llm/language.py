@@ -27,6 +27,8 @@ EPOCHS, RATE, BATCH = 4, 0.25, 64
 PIECE_WORDS, EVIDENCE = 8, (0.5, 8.0)
 #: Share of wrong pieces among the accepted ones that the rejection aims at.
 ACCEPTED_ERROR = 0.01
+#: Confidence from which a document's language counts: held-out texts of the five languages have 0.77 and more, most of others under 0.5.
+MAIN_ACCEPT = 0.6
 #: A line is foreign where its language is this many times as likely as the document's: few lines are.
 FOREIGN_ODDS = 33.0
 #: Words besides names from which a line can be foreign.
@@ -232,10 +234,14 @@ def _groups(numbers: list[int], texts: list[str]) -> list[list[int]]:
     return out
 
 
-def languages_of(model: LanguageModel, numbers: list[int], texts: list[str]) -> tuple[str | None, float, list[dict]]:
-    """(main language, its share of the text, [{line_no, lang_code, confidence}] of the other lines)."""
+def languages_of(model: LanguageModel, numbers: list[int], texts: list[str]) -> tuple[str | None, float, float, list[dict]]:
+    """(main language, its share of the text, the confidence in it, [{line_no, lang_code, confidence}] of the other lines).
+
+    The confidence is the calibrated one of the paragraphs that speak for the language, by their lengths. Under
+    MAIN_ACCEPT the main language is rejected: None, and no line is foreign to it.
+    """
     if not texts:
-        return None, 0.0, []
+        return None, 0.0, 0.0, []
     groups = _groups(numbers, texts)
     joined = [" ".join(texts[i] for i in g) for g in groups]
     p = model.scores(joined)
@@ -244,21 +250,25 @@ def languages_of(model: LanguageModel, numbers: list[int], texts: list[str]) ->
     sure = top >= model.accept
     weights = (p * sizes[:, None]).sum(0)
     main = int(weights.argmax())
+    mine = best == main
+    confidence = float((top * sizes)[mine].sum() / max(sizes[mine].sum(), 1)) if mine.any() else 0.0
+    if confidence < MAIN_ACCEPT:
+        return None, 0.0, confidence, []
     foreign = [
         {"line_no": numbers[i], "lang_code": LANGUAGES[best[k]], "confidence": float(top[k])}
         for k, g in enumerate(groups)
         if sure[k] and best[k] != main and p[k, best[k]] >= FOREIGN_ODDS * p[k, main] and len(spoken(joined[k], model.vocabulary)) >= FOREIGN_WORDS
         for i in g
     ]
-    return LANGUAGES[main], float(weights[main] / max(weights.sum(), 1)), foreign
+    return LANGUAGES[main], float(weights[main] / max(weights.sum(), 1)), confidence, foreign
 
 
 def foreign_and_main(pages: DataFrame, labelled: DataFrame, model: LanguageModel | None = None, counted: DataFrame | None = None) -> DataFrame:
-    """(record_table, record_id, residue, lines, main, share, foreign) of documents_of rows.
+    """(record_table, record_id, residue, lines, main, share, confidence, foreign) of documents_of rows.
 
     ``main`` is the language of most of an article's text and ``share`` its part of it; ``foreign`` has
     the lines of other languages with their confidence. Where residue stands in place of the article,
-    or there is none, ``main`` is null. ``labelled`` has the texts the model is fitted on,
+    or there is none, or the confidence is under MAIN_ACCEPT, ``main`` is null. ``labelled`` has the texts the model is fitted on,
     ``counted`` the documents whose lines are counted, if more than ``pages``.
     """
     from mentia.llm.style_tree import extract
@@ -268,7 +278,7 @@ def foreign_and_main(pages: DataFrame, labelled: DataFrame, model: LanguageModel
     def each(numbers: list[int], texts: list[str]) -> tuple:
         return languages_of(shared.value, numbers, texts)
 
-    return extract(pages, each, "main string, share double, foreign array<struct<line_no:int,lang_code:string,confidence:double>>", counted)
+    return extract(pages, each, "main string, share double, confidence double, foreign array<struct<line_no:int,lang_code:string,confidence:double>>", counted)
 
 
 def wrong_tags(df: DataFrame, tag: str, main: str) -> DataFrame:

@@ -20,23 +20,24 @@ from mentia.session import cut
 BLOCK, SLOTS, SEED = 1024, 256, 17
 #: Standard deviations that a source's cap stays above its expected draws.
 MARGIN = 4.0
-#: Documents a bucket of the running sums.
-RUN = 4096
+#: Documents a bucket of the running sums has on average, and shards a step of the running draws.
+RUN, STEP = 4096, 4096
 
 
 def blocks_of(counted: DataFrame, block: int = BLOCK, key: str = "doc_id") -> DataFrame:
     """(source, block, doc_id, first, n): the pieces of documents in each block of their source.
 
-    ``counted`` has (source, key, n_tokens) of documents with tokens; keys are unique. ``first`` is the
-    place of the piece's first token in its document. Only the last block of a source is short.
+    ``counted`` has (source, key, n_tokens) of documents with tokens. ``first`` is the place of the piece's
+    first token in its document. Only the last block of a source is short.
     """
-    rows = counted.withColumn("run", F.col(key) - F.pmod(F.col(key), F.lit(RUN)))
-    # running sums in two steps, so that no source, however large, is summed in one task: within runs of
-    # keys, and over the runs, of which there are RUN times fewer
+    # running sums in two steps, so that no source, however large, is summed in one task: within buckets of keys by
+    # their hash, and over the buckets, of which there are RUN times fewer than documents
+    buckets = counted.groupBy("source").agg(F.ceil(F.count("*") / RUN).alias("buckets"))
+    rows = counted.join(buckets, "source").withColumn("run", F.pmod(F.xxhash64(key), F.col("buckets"))).drop("buckets")
     runs = rows.groupBy("source", "run").agg(F.sum("n_tokens").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.withColumn("base", before).drop("size")
-    within = F.sum("n_tokens").over(Window.partitionBy("source", "run").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("n_tokens").over(Window.partitionBy("source", "run").orderBy(key, "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", within).join(runs, ["source", "run"]).withColumn("start", F.col("base") + F.col("upto") - F.col("n_tokens"))
     last = F.col("start") + F.col("n_tokens") - 1
     rows = rows.withColumn("last", last).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("last") / block))))
@@ -64,7 +65,10 @@ def plan(targets: DataFrame, sizes: DataFrame, slots: int = SLOTS) -> DataFrame:
 def draws(planned: DataFrame, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(mix_name, shard, source, n): multinomial counts of each shard. The same for the same seed."""
     mixes = planned.groupBy("mix_name").agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("parts"), F.first("total").alias("total"))
-    shards = mixes.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("total") / slots).cast("int") - 1)))
+    # from one row a mix to its shards in two steps, so that they aren't made by one task
+    steps = mixes.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") / slots - 1) / STEP).cast("int")))).repartition("mix_name", "step")
+    last = F.least((F.col("step") + 1) * STEP, (F.col("total") / slots).cast("int")) - 1
+    shards = steps.withColumn("shard", F.explode(F.sequence(F.col("step") * STEP, last)))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -92,22 +96,31 @@ def permuted(index: Column, size: Column, *salt: Column) -> Column:
             left, right = right, F.pmod(left + F.pmod(F.xxhash64(right, F.lit(turn), *salt), side), side)
         return left * side + right
 
-    # the walk of x stays in the cycle of x, which holds an element below size; a square exceeds size by
-    # less than 2 sides, so few steps are needed and 64 leave out none in practice; checked by the caller
+    # the walk of x stays in the cycle of x, which holds an element below size; a square exceeds size by less than 2
+    # sides, so few steps are needed. What 64 leave outside is an error
     step = lambda x, _: F.when(x < size, x).otherwise(once(x))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(index), step)
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(index), step)
+    return F.when(out < size, out).otherwise(F.raise_error(F.lit("a permutation didn't end")).cast("bigint"))
 
 
 def slots_of(planned: DataFrame, drawn: DataFrame, seed: int = SEED) -> DataFrame:
     """(mix_name, shard, slot, source, repeat, block): what stands in each slot.
 
-    Draws beyond a source's cap, which the margin makes all but impossible, have no slot.
+    Shards from the first on in which a source would pass its cap, which the margin makes all but impossible, are left
+    out whole, so that every shard has all its slots.
     """
-    upto = F.sum("n").over(Window.partitionBy("mix_name", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    inside = F.sum("n").over(Window.partitionBy("mix_name", "shard").orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
-    rows = drawn.withColumn("from", upto - F.col("n")).withColumn("at", inside - F.col("n")).filter("n > 0")
-    rows = rows.join(planned.select("mix_name", "source", "cap", "blocks"), ["mix_name", "source"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    rows = rows.withColumn("j", F.col("from") + F.col("k")).filter("j < cap")
+    # running draws in two steps: within STEP shards, and over the steps
+    rows = drawn.withColumn("step", F.floor(F.col("shard") / STEP))
+    steps = rows.groupBy("mix_name", "source", "step").agg(F.sum("n").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("mix_name", "source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.select("mix_name", "source", "step", before.alias("base"))
+    within = F.sum("n").over(Window.partitionBy("mix_name", "source", "step").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", within).join(steps, ["mix_name", "source", "step"]).withColumn("upto", F.col("upto") + F.col("base")).drop("base", "step")
+    rows = rows.join(planned.select("mix_name", "source", "cap", "blocks"), ["mix_name", "source"])
+    over = rows.filter(F.col("upto") > F.col("cap")).groupBy("mix_name").agg(F.min("shard").alias("over"))
+    rows = rows.join(over, "mix_name", "left").filter(F.col("over").isNull() | (F.col("shard") < F.col("over"))).drop("over")
+    rows = rows.filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    rows = rows.withColumn("j", F.col("upto") - F.col("n") + F.col("k"))
     rows = rows.withColumn("repeat", F.floor(F.col("j") / F.col("blocks")).cast("bigint")).withColumn("i", F.pmod("j", "blocks"))
     block = permuted(F.col("i"), F.col("blocks"), F.lit(seed), F.col("mix_name"), F.col("source"), F.col("repeat"))
     slot = F.pmod(F.xxhash64("source", "k"), F.lit(1 << 30))
@@ -123,11 +136,12 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", block: in
     give an empty result.
     """
     wanted = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi") if _small(targets) else documents.join(targets.select("source").distinct(), "source", "left_semi")
-    counted = count_tokens(wanted, ["source", key], folder=folder).filter("n_tokens > 0")
+    # tokens are counted once
+    counted = cut(count_tokens(wanted, ["source", key], folder=folder).filter("n_tokens > 0"))
     pieces = cut(blocks_of(counted, block, key))
     sizes = pieces.groupBy("source").agg((F.max("block") + 1).alias("blocks"))
     planned = cut(plan(targets, sizes, slots))
-    return slots_of(planned, draws(planned, slots, seed), seed).join(pieces, ["source", "block"]).select("mix_name", "shard", "slot", "source", "repeat", "block", key, "first", "n")
+    return slots_of(planned, cut(draws(planned, slots, seed)), seed).join(pieces, ["source", "block"]).select("mix_name", "shard", "slot", "source", "repeat", "block", key, "first", "n")
 
 
 def _small(df: DataFrame, rows: int = 10_000) -> bool:

@@ -9,11 +9,13 @@ and ``min_share`` of the site's addresses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mentia.session import cut
 
 MIN_URLS, MIN_SHARE = 5, 0.1
+#: Parts of a site whose addresses are numbered beside each other.
+PARTS = 256
 
 
 def site_of(url: Column) -> Column:
@@ -37,6 +39,18 @@ def lines_of(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
     return rows.select("key", "site", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"))
 
 
+def _numbered(addresses: DataFrame) -> DataFrame:
+    """(site, url, ordinal): dense numbers from 0 within each site, so that a site of m addresses has m / 32,768 containers.
+
+    Numbered in two steps: within parts of a site, and over its parts, of which there are PARTS at the most.
+    """
+    rows = addresses.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("site", "part").orderBy("url")) - 1)
+    sizes = rows.groupBy("site", "part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("site").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("site", "part", before.alias("base")), ["site", "part"]).select("site", "url", (F.col("base") + F.col("n")).cast("bigint").alias("ordinal"))
+
+
 def repeated_lines(df: DataFrame, key: str = "norm_id", url: str = "canonical_url", text: str = "text", min_urls: int = MIN_URLS, min_share: float = MIN_SHARE) -> DataFrame:
     """(key, line_no) of the lines of ``df`` that their site repeats, lines counted from 1.
 
@@ -52,7 +66,7 @@ def repeated_lines(df: DataFrame, key: str = "norm_id", url: str = "canonical_ur
     met = cut(lines.join(dictionary, ["site", "h1", "h2"]).select("key", "site", "line_no", "line_id"))
 
     addresses = df.filter(F.col(url).isNotNull()).select(F.coalesce(site_of(F.col(url)), F.lit("")).alias("site"), F.col(url).alias("url"))
-    ordinals = cut(addresses.distinct().withColumn("ordinal", F.monotonically_increasing_id()))
+    ordinals = cut(_numbered(addresses.distinct()))
     totals = ordinals.groupBy("site").agg(F.count("*").alias("total"))
     at = df.filter(F.col(url).isNotNull()).select(F.col(key).alias("key"), F.col(url).alias("url")).join(ordinals, "url").select("key", "ordinal").distinct()
     hits = met.select("key", "line_id", "site").distinct().join(at, "key")

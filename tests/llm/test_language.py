@@ -33,9 +33,9 @@ def test_texts(model):
 
 def test_foreign_lines(model):
     numbers, texts = [1, 2, 4, 5], [SAID["en"] + ".", SAID["fr"] + ".", SAID["en"] + ".", "Acme"]
-    main, share, foreign = L.languages_of(model, numbers, texts)
+    main, share, confidence, foreign = L.languages_of(model, numbers, texts)
     assert main == "en" and share > 0.5 and [(f["line_no"], f["lang_code"]) for f in foreign] == [(2, "fr")]
-    assert L.languages_of(model, [], []) == (None, 0.0, [])
+    assert confidence > L.MAIN_ACCEPT and L.languages_of(model, [], []) == (None, 0.0, 0.0, [])
 
 
 def test_held_out_accuracy(root):
@@ -45,6 +45,15 @@ def test_held_out_accuracy(root):
     assert np.mean([c == r["lang"] for r, (c, _) in zip(rows[500:], got)]) > 0.93  # labels are wrong in some
 
 
+@pytest.mark.parametrize("text", ["kaupunki rakennettiin uudelleen sodan jälkeen ja asukkaat muuttivat takaisin", "miasto zostało odbudowane po wojnie a mieszkańcy wracali", "şehir savaştan sonra yeniden inşa edildi ve sakinler döndü", "город был восстановлен после войны"])
+def test_other_languages_are_rejected(root, text):
+    rows = [r for r in pq.read_table(f"{root}/../sf0.01/documents.parquet").to_pylist() if r["text"] and r["lang"] and len(r["text"]) > 60]
+    model = L.train([(r["text"], r["lang"]) for r in rows[:500]])
+    assert L.languages_of(model, [1], [text])[0] is None
+    own = [L.languages_of(model, [1], [r["text"]]) for r in rows[500:700]]
+    assert np.mean([main is None for main, *_ in own]) < 0.02
+
+
 def test_wrong_tags(spark):
     df = spark.createDataFrame([(1, "English", "en"), (2, " es_MX", "es"), (3, "de", "en"), (4, None, "vi"), (5, "??", "fr"), (6, "en", None)], "id int, tag string, main string")
     assert {r.id for r in L.wrong_tags(df, "tag", "main").collect()} == {3, 4, 5}

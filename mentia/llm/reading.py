@@ -2,7 +2,7 @@
 
 A proportional-odds model with ridge penalty over lexical diversity, word rarity, connectives, a proxy
 of clause depth and lengths, fitted in numpy on the texts graded by hand. Counts of words come from all
-documents, in a table of fixed size, so that rarity costs one small copy an executor however large the
+documents, in a sketch of fixed size, so that rarity costs one small copy an executor however large the
 corpus is.
 """
 
@@ -10,20 +10,22 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-#: Cells of the table of word counts: 2 MB however many words there are.
-CELLS = 1 << 18
+#: Rows and cells of the sketch of word counts: 8 MB however many words there are. A word's count is the least of its cells.
+ROWS, CELL_BITS = 2, 20
+CELLS = 1 << CELL_BITS
 #: Most graded documents that the model is fitted on, taken by the hash of their id.
 MAX_GRADED = 20_000
 MIN_LETTERS, BANDS = 10, (1, 2, 3)
 RIDGE, STEPS = 1e-2, 400
+_DIGITS = re.compile(r"\d+")
 _WORD, _SENTENCE, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?…]+(?:\s|$)|\n+"), re.compile(r"[,;:()–—]")
 
 # Words that join clauses, by language.
@@ -38,59 +40,81 @@ _JOINING = frozenset(w for words in CONNECTIVES.values() for w in words.split())
 FEATURES = ("log_words", "word_letters", "long_words", "very_long_words", "diversity", "rarity", "rare_share", "rarity_spread", "connectives", "clauses", "log_sentence", "sentence_spread", "digits", "hapax")
 
 
-def cell(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (CELLS - 1)
+def cells(word: str) -> list[int]:
+    """Place of a word in each row of the sketch, the rows one after another."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return [row * CELLS + (h >> row * CELL_BITS & CELLS - 1) for row in range(ROWS)]
 
 
 def _plain(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
 
 
 def word_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences of the words of all documents, summed in CELLS cells."""
+    """Occurrences of the words of all documents, in the rows of a sketch."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CELLS, np.int64)
+        sums = np.zeros(ROWS * CELLS, np.int64)
         for batch in batches:
             met: Counter[str] = Counter()
             for value in batch.column(0).to_pylist():
                 if value:
                     met.update(_plain(value))
             for word, n in met.items():
-                sums[cell(word)] += n
+                sums[cells(word)] += n
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["cell", "n"])
 
     rows = documents.select(text).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CELLS)
+    out = np.zeros(ROWS * CELLS)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out
 
 
-def features(text: str, rarity: np.ndarray, known: dict[str, tuple]) -> list[float]:
-    """FEATURES of a text with at least one word. ``rarity`` is the surprise of each cell."""
+#: Words a worker remembers.
+KNOWN = 300_000
+
+
+class Words(dict):
+    """Numbers of the words that a worker has met, with their facts as arrays: length, rarity, whether they join clauses."""
+
+    def __init__(self, rarity: np.ndarray):
+        super().__init__()
+        self.rarity, self.facts = rarity, np.zeros((3, KNOWN))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.facts[:, at] = len(word), self.rarity[cells(word)].max(), word in _JOINING
+        return at
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word, their facts)."""
+        if len(self) + len(words) > self.facts.shape[1]:
+            self.clear()
+            if len(words) > self.facts.shape[1]:
+                self.facts = np.zeros((3, len(words)))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return numbers, self.facts[:, numbers]
+
+
+def features(text: str, known: Words) -> list[float]:
+    """FEATURES of a text with at least one word. The rarity of a word is the highest of its cells' surprises."""
     words = _plain(text)
     n = max(len(words), 1)
-    facts = []
-    for word in words:
-        fact = known.get(word)
-        if fact is None:
-            fact = (len(word), rarity[cell(word)], word in _JOINING)
-            if len(known) < 300_000:
-                known[word] = fact
-        facts.append(fact)
-    lengths, surprise, joins = (np.array(x, float) for x in zip(*facts)) if facts else (np.zeros(1),) * 3
+    numbers, facts = known.of(words) if words else (np.zeros(1, np.int64), np.zeros((3, 1)))
+    lengths, surprise, joins = facts
     sentences = np.array([k for part in _SENTENCE.split(text) if (k := len(_WORD.findall(part)))] or [0], float)
-    kinds = Counter(words)
+    hapax = (np.unique(numbers, return_counts=True)[1] == 1).sum()
     # whole texts: windows of 60 words, the last one ends at the last word
-    windows = [words[i : i + 60] for i in (*range(0, n - 60, 60), max(n - 60, 0))]
+    plain = numbers.tolist()
+    windows = [plain[i : i + 60] for i in (*range(0, n - 60, 60), max(n - 60, 0))]
     return [
         math.log1p(n),
         lengths.mean(),
         (lengths >= 9).mean(),
         (lengths >= 12).mean(),
-        float(np.mean([len(set(w)) / min(n, 60) for w in windows])),
+        sum([len(set(w)) for w in windows]) / len(windows) / min(n, 60),
         surprise.mean(),
         (surprise > 9).mean(),
         surprise.std(),
@@ -98,8 +122,8 @@ def features(text: str, rarity: np.ndarray, known: dict[str, tuple]) -> list[flo
         len(_CLAUSE.findall(text)) / n,
         math.log1p(sentences.mean()),
         math.log1p(sentences.std()),
-        sum(c.isdigit() for c in text) / n,
-        sum(1 for k in kinds.values() if k == 1) / n,
+        sum(map(len, _DIGITS.findall(text))) / n,
+        hapax / n,
     ]
 
 
@@ -164,10 +188,10 @@ def _feature_rows(documents: DataFrame, key: str, text: str, surprise, finish, d
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
+        known = Words(surprise.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            x = np.array([features(t, surprise.value, known) for t in texts]).reshape(len(texts), len(FEATURES))
+            x = np.array([features(t, known) for t in texts]).reshape(len(texts), len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(carry))), finish(x)], schema=schema)
 
     return documents.select(F.col(key).cast("bigint").alias("id"), text, *carry).mapInArrow(run, ddl)
@@ -190,7 +214,7 @@ def reading_bands(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     sc = documents.sparkSession.sparkContext
     usable = graded(documents)
     counts = word_counts(documents, text)
-    surprise = sc.broadcast((math.log(counts.sum() + 1) - np.log(counts + 1)).astype(np.float32))
+    surprise = sc.broadcast((math.log(counts.sum() / ROWS + 1) - np.log(counts + 1)).astype(np.float32))
     grades = labels.filter(F.col("band").isin(*BANDS)).select(F.col(key), F.col("band").cast("bigint").alias("band")).orderBy(F.xxhash64(key), "band").limit(limit)
     width = len(FEATURES)
     as_list = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * width, width), pa.int32()), pa.array(x.ravel(), pa.float64()))

@@ -19,19 +19,19 @@ def test_held_out_accuracy(root):
     folder = f"{root}/../sf0.1"
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()}
     labels = [(r["doc_id"], r["band"]) for r in pq.read_table(f"{folder}/reading_labels.parquet").to_pylist() if texts.get(r["doc_id"])]
-    counts = np.zeros(R.CELLS)
+    counts = np.zeros(R.ROWS * R.CELLS)
     for t in texts.values():
         for w in R._plain(t or ""):
-            counts[R.cell(w)] += 1
-    rarity = np.log(counts.sum() + 1) - np.log(counts + 1)
-    x, y = np.array([R.features(texts[d], rarity, {}) for d, _ in labels]), np.array([b for _, b in labels])
+            counts[R.cells(w)] += 1
+    known = R.Words(np.log(counts.sum() / R.ROWS + 1) - np.log(counts + 1))
+    x, y = np.array([R.features(texts[d], known) for d, _ in labels]), np.array([b for _, b in labels])
     held = np.arange(len(y)) % 4 == 0
     assert (R.fit(x[~held], y[~held]).bands(x[held]) == y[held]).mean() > 0.88
 
 
 def test_diversity_reads_to_the_last_word():
-    first, letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)], np.zeros(R.CELLS)
-    of = lambda words: R.features(" ".join(words), letters, {})[4]
+    first, letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)], R.Words(np.zeros(R.ROWS * R.CELLS))
+    of = lambda words: R.features(" ".join(words), letters)[4]
     assert of(first[:30]) == of(first) == of(first * 2) == 1
     assert of(first + ["same"] * 59) < 1 and of(first * 2 + ["same"] * 59) < 1
 

@@ -143,18 +143,18 @@ def _block(key, rows):
     return pa.Table.from_arrays([*head, *ends, *[one(x.tobytes(), pa.binary()) for x in packed]], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def write_blocks(rows: DataFrame, folder: str) -> bool:
-    """Store rows (id, text, n, near, pivots) with words as blocks below ``folder``; whether there were any."""
+def write_blocks(texts: DataFrame, index: DataFrame, folder: str) -> bool:
+    """Store the ``texts`` (id, text) of the rows of ``index`` (id, n, near, pivots) as blocks below ``folder``; whether there were any."""
     width = -math.log(1 - RADIUS)
-    rows = rows.filter("n > 0").withColumn("length", F.floor(F.log("n") / width).cast("int"))
-    words = {(r.near, r.length): r.words for r in rows.groupBy("near", "length").agg(F.sum("n").alias("words")).collect()}
+    index = index.filter("n > 0").withColumn("length", F.floor(F.log("n") / width).cast("int"))
+    words = {(r.near, r.length): r.words for r in index.groupBy("near", "length").agg(F.sum("n").alias("words")).collect()}
     if not words:
         return False
     spread = F.lit(0)
     for (near, length), w in words.items():
         spread = F.when((F.col("near") == near) & (F.col("length") == length), F.pmod(F.xxhash64("id"), F.lit(math.ceil(w / BLOCK)))).otherwise(spread)
     block = ((F.col("near") * 256 + F.col("length")).cast("bigint") * (1 << 32) + spread).alias("block")
-    rows.select(block, "id", "near", "length", "pivots", "text").groupBy("block").applyInArrow(_block, BLOCKS).withColumn("at", F.col("block")).write.option("compression", "zstd").partitionBy("at").parquet(folder)
+    texts.join(index.select("id", block, "near", "length", "pivots"), "id").select("block", "id", "near", "length", "pivots", "text").groupBy("block").applyInArrow(_block, BLOCKS).withColumn("at", F.col("block")).write.option("compression", "zstd").partitionBy("at").parquet(folder)
     return True
 
 
@@ -417,22 +417,26 @@ def _check(df: DataFrame, key: str, text: str, content_hash: str, store: Accepte
     # later copies are few ids, or many; either way no more than ids travel to leave them out
     copies = members.filter("id <> lead").select("id")
     texts = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    rows = texts.join(own.drop("class"), "id").join(copies, "id", "left_anti")
+    index = cut(own.drop("class").join(copies, "id", "left_anti"))
 
     folder = f"{part}/blocks"
     picked, repeated = spark.createDataFrame([], "lead bigint, accepted bigint, share double"), spark.createDataFrame([], "id bigint")
-    if write_blocks(rows, folder):
+    if write_blocks(texts, index, folder):
         old, gone = store.blocks(), store.table("dropped", DROPPED)
-        states, edges = _states(spark, rows, folder, old, gone, part)
+        states, edges = _states(spark, texts, index, folder, old, gone, part)
         repeated = cut(states.filter("s = 2").select("id"))
         _drop_rows(folder, repeated).write.parquet(f"{part}/dropped")
-        # the nearest accepted one: of rows whose neighbours are all known, of them; rows of which more could follow,
-        # and those with copies that came later, are compared with everything accepted
+        # the nearest accepted one is among the neighbours known, those before and those after, which matter to later
+        # copies; where a text may have more than were verified, all are looked for among what was accepted
+        ever = states.filter("ever")
         twice = members.filter("id <> lead").select(F.col("lead").alias("id"))
-        open_rows = cut(states.filter("s = 2 and more").select("id").unionByName(repeated.join(twice, "id", "left_semi")).distinct())
-        picked = edges.join(repeated, "id", "left_semi").join(repeated.withColumnRenamed("id", "other"), "other", "left_anti").join(open_rows, "id", "left_anti").select(F.col("id").alias("lead"), F.col("other").alias("accepted"), "share")
+        open_rows = spark.createDataFrame([], "id bigint")
+        if not ever.isEmpty():
+            open_rows = cut(ever.select("id").join(repeated, "id", "left_semi").unionByName(repeated.join(twice, "id", "left_semi")).distinct())
+        known = edges.unionByName(edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "share"))
+        picked = known.join(repeated, "id", "left_semi").join(repeated.withColumnRenamed("id", "other"), "other", "left_anti").join(open_rows, "id", "left_anti").select(F.col("id").alias("lead"), F.col("other").alias("accepted"), "share")
         if not open_rows.isEmpty():
-            write_blocks(rows.join(open_rows, "id", "left_semi"), f"{part}/open")
+            write_blocks(texts, index.join(open_rows, "id", "left_semi"), f"{part}/open")
             masked = gone.unionByName(spark.read.schema(DROPPED).parquet(f"{part}/dropped"))
             near = neighbours(spark, f"{part}/open", [*old, folder], dropped=masked, any_order=True)
             picked = picked.unionByName(near.select(F.col("id").alias("lead"), F.col("other").alias("accepted"), "share"))
@@ -463,23 +467,26 @@ def _drop_rows(folder: str, ids: DataFrame) -> DataFrame:
     return stored.join(ids, "id").groupBy("block").agg(F.collect_list("id").alias("ids")).select(F.lit(folder).alias("folder"), "block", "ids")
 
 
-def _states(spark: SparkSession, rows: DataFrame, folder: str, old: list[str], gone: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
-    """((id, s, more), (id, other, share)) of the rows with an earlier neighbour: s is 1 for accepted, 2 for a repeat."""
+def _states(spark: SparkSession, texts: DataFrame, index: DataFrame, folder: str, old: list[str], gone: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+    """((id, s, more, ever), (id, other, share)) of the rows with an earlier neighbour: s is 1 for accepted, 2 for a repeat.
+
+    ``more`` says that a row may have more neighbours than were verified, ``ever`` that it may have had at some time.
+    """
     met = cut(neighbours(spark, folder, old, own=True, dropped=gone, first=FIRST))
     edges, turn = met.filter("not more").drop("more"), 0
-    states = cut(met.groupBy("id").agg(F.max("more").alias("more")).select("id", F.lit(0).alias("s"), "more"))
+    states = cut(met.groupBy("id").agg(F.max("more").alias("more")).select("id", F.lit(0).alias("s"), "more", F.col("more").alias("ever")))
     left = states.count()
     while left:
         # rows that are in no state have no earlier neighbour and are accepted, as is all history
         judged = edges.join(states.select(F.col("id").alias("other"), F.col("s").alias("t")), "other", "left").groupBy("id").agg(F.max(F.coalesce("t", F.lit(1)) == 1).alias("any"), F.min(F.coalesce("t", F.lit(1)) == 2).alias("all"))
         s = F.when(F.col("s") != 0, F.col("s")).when(F.col("any"), 2).when(F.col("all") & ~F.col("more"), 1).otherwise(0)
-        states = cut(states.join(judged, "id", "left").select("id", s.alias("s"), "more"))
+        states = cut(states.join(judged, "id", "left").select("id", s.alias("s"), "more", "ever"))
         open_rows = states.filter("s = 0").select("id")
         now = open_rows.count()
         if now == left:
             # all known neighbours of these repeat something, and there are more: compared with what doesn't
             turn += 1
-            write_blocks(rows.join(open_rows, "id", "left_semi"), f"{part}/again-{turn}")
+            write_blocks(texts, index.join(open_rows, "id", "left_semi"), f"{part}/again-{turn}")
             dropped = cut(gone.unionByName(_drop_rows(folder, states.filter("s = 2").select("id"))))
             met = cut(neighbours(spark, f"{part}/again-{turn}", [*old, folder], dropped=dropped, first=FIRST))
             fresh, more = met.filter("not more").drop("more"), met.filter("more").select("id").distinct().withColumn("m", F.lit(True))
@@ -488,7 +495,7 @@ def _states(spark: SparkSession, rows: DataFrame, folder: str, old: list[str], g
             bare = fresh.select("id").distinct().withColumn("has", F.lit(True))
             again = states.join(more, "id", "left").join(bare, "id", "left")
             opened = F.col("s") == 0
-            states = cut(again.select("id", F.when(opened & F.col("has").isNull(), 1).otherwise(F.col("s")).alias("s"), F.when(opened, F.coalesce("m", F.lit(False))).otherwise(F.col("more")).alias("more")))
+            states = cut(again.select("id", F.when(opened & F.col("has").isNull(), 1).otherwise(F.col("s")).alias("s"), F.when(opened, F.coalesce("m", F.lit(False))).otherwise(F.col("more")).alias("more"), "ever"))
             now = states.filter("s = 0").count()
         left = now
     return states, edges

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 from mentia.boolean.language import simplify_for_search, topic_tags
 from mentia.functions import hashing as H, text as T, urls as U
 from mentia.operators import dedupe as D, folds, timely as O
+from mentia.plans import reference as R
 from mentia.plans.reference import QUERIES, SQL, query
 from mentia.session import cut
 from mentia.sources import providers as P
@@ -252,3 +253,17 @@ def monitored_contents(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "raw_content").select("raw_id")
     rows = table(spark, root, "normalized_content").select("norm_id", "raw_id", "content_id").join(pages, "raw_id").join(found, "content_id")
     return rows.groupBy("norm_id").agg(F.sum("n").alias("monitors"))
+
+
+@query(f"""WITH t AS (SELECT cand_id, trim(regexp_replace({R._rules_sql('title', T.HIDDEN_RULES, T.TAG_RULES, T.ENTITY_RULES)}, '{R._SPACE_SQL}+', ' ', 'g')) AS line FROM (SELECT cand_id, '<b>' || coalesce(title, '') || '</b> &amp; more<script>x</script>' AS title FROM ai_candidates))
+SELECT cand_id, CASE WHEN line = '' THEN NULL WHEN length(line) <= 40 THEN line ELSE rtrim(substr(line, 1, 39)) || '…' END AS shown FROM t""")
+def display_titles(spark: SparkSession, root: str) -> DataFrame:
+    """Titles as they are shown: on one line, without markup, of a bounded length."""
+    title = F.concat(F.lit("<b>"), F.coalesce("title", F.lit("")), F.lit("</b> &amp; more<script>x</script>"))
+    return table(spark, root, "ai_candidates").select("cand_id", T.display_title(title, 40).alias("shown"))
+
+
+@query("SELECT DISTINCT tenant_id FROM monitors WHERE starts_with(tenant_id, 'tenant-t')")
+def tenants_by_prefix(spark: SparkSession, root: str) -> DataFrame:
+    """Tenants of a registry whose keys begin alike."""
+    return table(spark, root, "monitors").filter(F.col("tenant_id").startswith("tenant-t")).select("tenant_id").distinct()

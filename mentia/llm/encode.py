@@ -123,6 +123,21 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+def shipped(df: DataFrame, path: str) -> str:
+    """Send a vocabulary of the driver to the executors once; where the driver has none, they must have it at ``path``."""
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+    return path
+
+
+def local(path: str) -> str:
+    """Where an executor finds a vocabulary."""
+    from pyspark import SparkFiles
+
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.exists(sent) else path
+
+
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(key, ids array<int>): one row per row of ``df``, without special tokens.
 
@@ -131,10 +146,10 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
     """
     import pyarrow as pa
 
-    vocabulary = f"{folder}/{name}"
+    vocabulary = shipped(df, f"{folder}/{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(local(vocabulary))
         for batch in batches:
             flat, ends = array("i"), array("i", [0])
             for value in batch.column(1).to_pylist():
@@ -153,10 +168,10 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", folder: str
     """Columns ``keep`` of ``df`` and ``n_tokens`` bigint, 0 for null and empty texts."""
     import pyarrow as pa
 
-    vocabulary = f"{folder}/{name}"
+    vocabulary = shipped(df, f"{folder}/{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(local(vocabulary))
         for batch in batches:
             n = [sum(map(len, enc.pieces(value))) if value else 0 for value in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])

@@ -116,8 +116,8 @@ duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla par
 non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae mauris praesent morbi tincidunt""".split()
 # Placeholders of common template languages and mail systems.
 PLACEHOLDER = re.compile(
-    r"\$?\{\{[^{}]{1,80}\}\}|\{%[^%]{1,80}%\}|<%=?[^%]{1,80}%>|%%\w{1,40}%%|@@\w{1,40}@@|[$#]\{[^{}]{1,80}\}"
-    r"|\[\[?[A-Z][A-Z_]{2,40}\]?\]|<<[\w.]{1,40}>>|\*\|\w{1,40}\|\*|__[A-Z]\w{1,40}__|\$[a-z]\w{1,40}\$?|\{[a-zA-Z][\w.]{2,40}\}|\b[a-z]+(?:\.[a-z]+)+_\d+\b"
+    r"\$?\{\{[^{}]+\}\}|\{%[^%]+%\}|<%=?[^%]+%>|%%\w+%%|@@\w+@@|[$#]\{[^{}]+\}"
+    r"|\[\[?[A-Z][A-Z_]{2,}\]?\]|<<[\w.]+>>|\*\|\w+\|\*|__[A-Z]\w+__|\$[a-z]\w+\$?|\{[a-zA-Z][\w.]{2,}\}|\b[a-z]+(?:\.[a-z]+)+_\d+\b"
 )
 # Words by which a sentence tells of placeholders instead of having one left over.
 TELLS = re.compile(r"\b(?:template|placeholder|plantilla|marcador|modèle|gabarit|vorlage|platzhalter|bản mẫu|khuôn mẫu)\b", re.I)

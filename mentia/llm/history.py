@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -110,9 +109,12 @@ BLOCKS = "block bigint, near int, length int, low int, high int, least array<flo
 HEADER = ["folder", "block", "near", "length", "low", "high", "least", "most"]
 
 
-@lru_cache(maxsize=300_000)
-def _word_code(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+class _Numbers(dict):
+    """A number for each word met."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
 
 
 def _block(key, rows):
@@ -120,25 +122,30 @@ def _block(key, rows):
     import pyarrow as pa
 
     rows = rows.sort_by("id")
-    sizes, flat, places = [], [], []
+    known, sizes, flat = _Numbers(), [], []
     for text in rows.column("text").to_pylist():
         words = split_words(text)
         sizes.append(len(words))
-        codes = np.fromiter(map(_word_code, words), np.uint64, len(words))
-        order = np.argsort(codes, kind="stable")
-        ordered, at = codes[order], np.arange(len(codes))
-        first = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], at, 0))
-        place = np.empty(len(codes), np.uint16)
-        place[order] = np.minimum(at - first, 65535)
-        flat.append(codes)
-        places.append(place)
-    codes, place = np.concatenate(flat), np.concatenate(places)
+        flat.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    word, owner = np.concatenate(flat), np.repeat(np.arange(len(sizes)), sizes)
+    # the how-manieth of its word in its text each word is
+    of = owner * len(known) + word
+    order = np.argsort(of, kind="stable")
+    ordered, at = of[order], np.arange(len(of))
+    first = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], at, 0))
+    place = np.empty(len(of), np.int64)
+    place[order] = at - first
     # an occurrence has a code of its own, so that equal bags have equal sets of codes
-    tokens, first, seq = np.unique(codes + place * _STEP, return_index=True, return_inverse=True)
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    occurrences, seq = np.unique(word + place * len(known), return_inverse=True)
+    words, places = codes[occurrences % len(known)], (occurrences // len(known)).astype(np.uint32)
+    order = np.argsort(words + places * _STEP)
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order))
     pivots = np.array(rows.column("pivots").to_pylist(), np.float32)
     one = lambda x, kind: pa.array([x], kind)
     ends = [one(x.tolist(), pa.list_(pa.float32())) for x in (pivots.min(0), pivots.max(0))]
-    packed = [rows.column("id").to_numpy().astype(np.int64), np.array(sizes, np.int32), pivots, codes[first], place[first], seq.astype(np.int32)]
+    packed = [rows.column("id").to_numpy().astype(np.int64), np.array(sizes, np.int32), pivots, words[order], places[order], back[seq]]
     head = [one(key[0].as_py(), pa.int64()), one(rows.column("near")[0].as_py(), pa.int32()), one(rows.column("length")[0].as_py(), pa.int32()), one(min(sizes), pa.int32()), one(max(sizes), pa.int32())]
     return pa.Table.from_arrays([*head, *ends, *[one(x.tobytes(), pa.binary()) for x in packed]], [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -179,7 +186,7 @@ class _Block:
         take = lambda c, kind: np.frombuffer(row[c], kind)
         self.ids, self.sizes, self.words, self.seq = take("ids", np.int64), take("sizes", np.int32), take("words", np.uint64), take("seq", np.int32)
         self.pivots = take("pivots", np.float32).reshape(len(self.ids), -1)
-        self.tokens = self.words + take("places", np.uint16) * _STEP
+        self.tokens = self.words + take("places", np.uint32) * _STEP
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.need = np.ceil((1 - RADIUS) * self.sizes - 1e-6).astype(np.int64)
 
@@ -242,14 +249,27 @@ def common_words(a: _Block, b: _Block) -> Iterator[tuple[int, np.ndarray]]:
     beside_b = known - np.bitwise_count(top_b).sum(0, dtype=np.int64)
     # no text of a block in short numbers has as many words as their bound
     small, bound = beside_a.dtype.type, 30_000 if beside_a.dtype == np.int16 else 2**31 - 1
-    need_a = a.need.astype(small)
+    need_a, same = a.need.astype(small), a is b
+    # of one block each pair counts once; of blocks of different lengths only texts of like length: by size, in a row
+    by_size = None if same or (1 - RADIUS) * max(a.sizes.max(), b.sizes.max()) <= min(a.sizes.min(), b.sizes.min()) else np.argsort(a.sizes, kind="stable")
+    if by_size is not None:
+        top_a, beside_a, need_a, ordered = np.ascontiguousarray(top_a[:, by_size]), beside_a[by_size], need_a[by_size], a.sizes[by_size]
     for j in open_b.tolist():
-        both = np.bitwise_count(top_a & top_b[:, j, None]).sum(0, dtype=beside_a.dtype)
-        i = np.flatnonzero(both + np.minimum(beside_a, small(min(beside_b[j], bound))) >= np.maximum(need_a, small(min(b.need[j], bound))))
+        low, high = 0, j if same else len(a.ids)
+        if by_size is not None:
+            low, high = np.searchsorted(ordered, [b.need[j], math.floor(b.sizes[j] / (1 - RADIUS) + 1e-6) + 1]).tolist()
+        if low >= high:
+            continue
+        both = np.bitwise_count(top_a[:, low:high] & top_b[:, j, None]).sum(0, dtype=beside_a.dtype)
+        i = np.flatnonzero(both + np.minimum(beside_a[low:high], small(min(beside_b[j], bound))) >= np.maximum(need_a[low:high], small(min(b.need[j], bound))))
         if not len(i):
             continue
-        need = np.maximum(a.need[i], b.need[j])
         both = both[i].astype(np.int64)
+        if by_size is not None:
+            i = by_size[low + i]
+            order = np.argsort(i)
+            i, both = i[order], both[order]
+        need = np.maximum(a.need[i], b.need[j])
         if more_a.shape[1]:
             both += np.bitwise_count(more_a[i] & more_b[j]) @ np.ones(more_a.shape[1], np.int64)
             left = both + np.minimum(rest_a[i], rest_b[j]) >= need

@@ -26,9 +26,9 @@ from mentia.session import cut, scratch
 RADIUS = 0.4
 #: Words of a block of texts. Words of more than COMMON of a block's texts are kept as bits, others as lists of texts;
 #: TOP x 64 bits are looked at first.
-BLOCK, COMMON, TOP = 1_500_000, 0.02, 12
+BLOCK, COMMON, TOP = 3_000_000, 0.02, 12
 #: Pairs of blocks a task compares, one after another.
-PAIRS = 4
+PAIRS = 2
 #: Earlier neighbours that are verified of a text before its state is looked at; where more could follow, it is asked again.
 FIRST = 16
 # The pivots, common words of each language in the bag of an average text.
@@ -214,13 +214,21 @@ class _Block:
 
     @property
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
-        """(texts by token, starts of the tokens' lists)."""
+        """(texts by token, starts of the tokens' lists), of the tokens that are no bits."""
         if not hasattr(self, "_lists"):
-            owner = np.repeat(np.arange(len(self.ids)), self.sizes)
-            start = np.concatenate([[0], np.cumsum(np.bincount(self.seq, minlength=len(self.tokens)))])
-            self._lists = owner[np.argsort(self.seq, kind="stable")], start
+            rare = np.flatnonzero(self.often[0][self.seq] < 0)
+            tokens = self.seq[rare]
+            owner = np.searchsorted(self.starts, rare, "right") - 1
+            start = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(self.tokens)))])
+            self._lists = owner[np.argsort(tokens, kind="stable")], start
         return self._lists
 
+    def count(self, texts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """How many of ``tokens``, none of them a bit, each of ``texts`` has."""
+        lists, start = self.lists
+        parts = [lists[x:y] for x, y in zip(start[tokens].tolist(), start[tokens + 1].tolist())]
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids))[texts] if parts else np.zeros(len(texts), np.int64)
+
     def text(self, i: int) -> list[int]:
         """Word codes of a text in order."""
         return self.words[self.seq[self.starts[i] : self.starts[i + 1]]].tolist()
@@ -279,10 +287,8 @@ def common_words(a: _Block, b: _Block) -> Iterator[tuple[int, np.ndarray]]:
         mine = here[b.starts[j] : b.starts[j + 1]]
         mine = mine[mine >= 0]
         mine = mine[bit[mine] < 0]
-        lists, start = a.lists
-        parts = [lists[x:y] for x, y in zip(start[mine].tolist(), start[mine + 1].tolist())]
-        count = np.bincount(np.concatenate(parts), minlength=len(a.ids)) if parts else np.zeros(len(a.ids), np.int64)
-        i = i[both + count[i] >= need]
+        count = a.count(i, mine)
+        i = i[both + count >= need]
         if len(i):
             yield j, i[np.abs(a.pivots[i] - b.pivots[j]).max(1) <= RADIUS + 1e-6]
 

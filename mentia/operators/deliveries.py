@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from mentia.session import cut
+
 #: Shards of the dictionary, and parts of a shard that are numbered beside each other.
 SHARDS, PARTS = 64, 256
 #: Versions after which the bitmaps are merged.
@@ -95,7 +97,8 @@ class SeenStore:
             arrivals = coded.withColumn("b", byte).filter(~is_seen).select("name", "ident", "first", "shard")
             base = self.dictionary().groupBy("name", "shard").agg(F.max("code").alias("last"))
         # numbers in two steps: within parts of a shard, and over the parts, of which there are few
-        arrivals = arrivals.withColumn("part", F.pmod(F.shiftright(F.xxhash64("name", "ident"), 20), F.lit(PARTS)).cast("int"))
+        # read twice, so kept: the spelling of identifiers is most of the work
+        arrivals = cut(arrivals.withColumn("part", F.pmod(F.shiftright(F.xxhash64("name", "ident"), 20), F.lit(PARTS)).cast("int")))
         sizes = arrivals.groupBy("name", "shard", "part").agg(F.count("*").alias("size"))
         before = F.coalesce(F.sum("size").over(Window.partitionBy("name", "shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = sizes.select("name", "shard", "part", before.alias("offset"))

@@ -3,13 +3,16 @@
 A proportional-odds model with ridge penalty over lexical diversity, word rarity, connectives, a proxy
 of clause depth and lengths, fitted in numpy on the texts graded by hand. Counts of words come from all
 documents, in a sketch of fixed size, so that rarity costs one small copy an executor however large the
-corpus is.
+corpus is. Texts are scanned in blocks, by the classes of their characters, and no text is cut.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +28,11 @@ CELLS = 1 << CELL_BITS
 MAX_GRADED = 20_000
 MIN_LETTERS, BANDS = 10, (1, 2, 3)
 RIDGE, STEPS = 1e-2, 400
-_DIGITS = re.compile(r"\d+")
-_WORD, _SENTENCE, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?…]+(?:\s|$)|\n+"), re.compile(r"[,;:()–—]")
+#: Characters of the texts that are scanned at once, beside those of the first of them.
+BLOCK = 1 << 18
+WINDOW = 60
+_WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?…]+(?:\s|$)|\n+")
+_LETTER, _DIGIT, _SPACE, _STOP, _CLAUSE, _LINE = (1 << i for i in range(6))
 
 # Words that join clauses, by language.
 CONNECTIVES = {
@@ -46,8 +52,80 @@ def cells(word: str) -> list[int]:
     return [row * CELLS + (h >> row * CELL_BITS & CELLS - 1) for row in range(ROWS)]
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """Classes of every code point, as the patterns see them."""
+    every, out = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass"), np.zeros(sys.maxunicode + 1, np.uint8)
+    for flag, pattern in ((_LETTER, _WORD), (_DIGIT, re.compile(r"\d+")), (_SPACE, re.compile(r"\s+"))):
+        for m in pattern.finditer(every):
+            out[m.start() : m.end()] |= flag
+    for flag, characters in ((_STOP, ".!?…"), (_CLAUSE, ",;:()–—"), (_LINE, "\n")):
+        out[[ord(c) for c in characters]] |= flag
+    return out
+
+
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    """All texts in their order, parted by BLOCK characters."""
+    ends = np.cumsum([len(t) for t in texts]) // BLOCK
+    at = 0
+    for _, group in itertools.groupby(ends.tolist()):
+        until = at + sum(1 for _ in group)
+        yield texts[at:until]
+        at = until
+
+
+class Scan:
+    """Words of a block of texts in lower case, one text after another, and what each text has beside them.
+
+    Texts are joined by line ends, which end words and sentences. A sentence ends at a stop before white space, or
+    at a line end; one without words counts nothing.
+    """
+
+    def __init__(self, texts: list[str]):
+        lower = [t.lower() for t in texts]
+        codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(t) + 1 for t in lower])
+        kinds = _classes()[codes]
+        letter = (kinds & _LETTER).view(bool)
+        self.words = str(np.where(letter, codes, 32).astype("<u4", copy=False), "utf-32-le").split()
+        starts = np.flatnonzero(np.diff(letter.view(np.int8), prepend=np.int8(0)) == 1)
+        until = np.searchsorted(starts, ends)
+        self.counts = np.diff(until, prepend=0)
+        self.clauses, self.digits = (np.diff(np.searchsorted(np.flatnonzero(kinds & flag), ends), prepend=0) for flag in (_CLAUSE, _DIGIT))
+        self._ends, self._starts, self._until, self._kinds = ends, starts, until, kinds
+        # the one letter whose lower case is cut in two by a mark
+        self._cut = [i for i, t in enumerate(texts) if "İ" in t]
+        self._texts = texts
+
+    def sentences(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and spread of the words a sentence, by text."""
+        mean, spread = np.zeros(len(self.counts)), np.zeros(len(self.counts))
+        some = self.counts > 0
+        if some.any():
+            kinds = self._kinds
+            stops = np.flatnonzero(kinds & _STOP)
+            ends = np.zeros(len(kinds), np.int8)
+            ends[stops[kinds[stops + 1] & _SPACE != 0]] = 1
+            ends[kinds & _LINE != 0] = 1
+            place = np.cumsum(ends, dtype=np.int32)[self._starts]
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            lengths = np.diff(first, append=len(place)).astype(float)
+            of_text = np.searchsorted(first, (self._until - self.counts)[some])
+            n = np.diff(of_text, append=len(lengths))
+            mean[some] = np.add.reduceat(lengths, of_text) / n
+            spread[some] = np.sqrt(np.add.reduceat((lengths - np.repeat(mean[some], n)) ** 2, of_text) / n)
+        for i in self._cut:
+            lengths = np.array([k for part in _SENTENCE.split(self._texts[i]) if (k := len(_WORD.findall(part)))] or [0], float)
+            mean[i], spread[i] = lengths.mean(), lengths.std()
+        return mean, spread
+
+
 def _plain(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return Scan([text]).words
+
+
+#: Words a worker remembers.
+KNOWN = 300_000
 
 
 def word_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
@@ -55,14 +133,20 @@ def word_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(ROWS * CELLS, np.int64)
+        sums, met = np.zeros(ROWS * CELLS, np.int64), Counter()
+
+        def add() -> None:
+            if met:
+                # as long as the places: values that are broadcast are added wrongly by NumPy 2.3
+                np.add.at(sums, np.array([cells(word) for word in met]).ravel(), np.repeat(np.fromiter(met.values(), np.int64, len(met)), ROWS))
+            met.clear()
+
         for batch in batches:
-            met: Counter[str] = Counter()
-            for value in batch.column(0).to_pylist():
-                if value:
-                    met.update(_plain(value))
-            for word, n in met.items():
-                sums[cells(word)] += n
+            for block in _blocks([value for value in batch.column(0).to_pylist() if value]):
+                met.update(Scan(block).words)
+                if len(met) > KNOWN:
+                    add()
+        add()
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["cell", "n"])
 
@@ -72,20 +156,16 @@ def word_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-#: Words a worker remembers.
-KNOWN = 300_000
-
-
 class Words(dict):
     """Numbers of the words that a worker has met, with their facts as arrays: length, rarity, whether they join clauses."""
 
     def __init__(self, rarity: np.ndarray):
         super().__init__()
-        self.rarity, self.facts = rarity, np.zeros((3, KNOWN))
+        self.rarity, self.facts, self.new = rarity, np.zeros((3, KNOWN)), []
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
-        self.facts[:, at] = len(word), self.rarity[cells(word)].max(), word in _JOINING
+        self.new.append(word)
         return at
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,36 +175,82 @@ class Words(dict):
             if len(words) > self.facts.shape[1]:
                 self.facts = np.zeros((3, len(words)))
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            met = slice(len(self) - len(self.new), len(self))
+            self.facts[0, met] = [len(w) for w in self.new]
+            self.facts[1, met] = self.rarity[np.array([cells(w) for w in self.new])].max(1)
+            self.facts[2, met] = [w in _JOINING for w in self.new]
+            self.new.clear()
         return numbers, self.facts[:, numbers]
 
 
+def _last_and_only(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each word's last occurrence before it in its text or -1, whether it has no other there)."""
+    order = np.argsort((numbers & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+    if numbers.max() > 0xFFFF:
+        order = order[np.argsort((numbers[order] >> 16).astype(np.uint16), kind="stable")]
+    a, b = order[:-1], order[1:]
+    again = (numbers[a] == numbers[b]) & (owner[a] == owner[b])
+    last, only = np.full(len(numbers), -1), np.ones(len(numbers), bool)
+    last[b[again]] = a[again]
+    only[a[again]] = only[b[again]] = False
+    return last, only
+
+
+def _diversity(last: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Mean share of different words over windows of whole texts: 60 words each, the last one ends at the last word."""
+    beyond, length = np.maximum(n - WINDOW, 0), np.minimum(n, WINDOW)
+    windows = -(-beyond // WINDOW) + 1
+    of_text = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(n)), windows)
+    nth = np.arange(len(owner)) - of_text[owner]
+    start = first[owner] + np.minimum(nth * WINDOW, beyond[owner])
+    size = length[owner]
+    of_window = np.cumsum(size) - size
+    new = last[np.arange(size.sum()) + np.repeat(start - of_window, size)] < np.repeat(start, size)
+    return np.add.reduceat(np.add.reduceat(new, of_window, dtype=np.int64), of_text) / windows / length
+
+
+def feature_rows(texts: list[str], known: Words) -> np.ndarray:
+    """FEATURES of each text. The rarity of a word is the highest of its cells' surprises."""
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(_block_features(block, known) for block in _blocks(texts))])
+
+
+def _block_features(texts: list[str], known: Words) -> np.ndarray:
+    scan = Scan(texts)
+    out, n = np.zeros((len(texts), len(FEATURES))), np.maximum(scan.counts, 1)
+    column = dict(zip(FEATURES, out.T))
+    mean, spread = scan.sentences()
+    column["log_words"][:] = np.log1p(n)
+    column["clauses"][:], column["digits"][:] = scan.clauses / n, scan.digits / n
+    column["log_sentence"][:], column["sentence_spread"][:] = np.log1p(mean), np.log1p(spread)
+    column["diversity"][:] = column["hapax"][:] = 1
+    some = scan.counts > 0
+    if some.any():
+        n = n[some]
+        first = np.cumsum(n) - n
+        mean_of = lambda values: np.add.reduceat(values, first, dtype=float) / n
+        numbers, (lengths, surprise, joins) = known.of(scan.words)
+        last, only = _last_and_only(numbers, np.repeat(np.arange(len(n)), n))
+        rarity = mean_of(surprise)
+        for name, values in (
+            ("word_letters", mean_of(lengths)),
+            ("long_words", mean_of(lengths >= 9)),
+            ("very_long_words", mean_of(lengths >= 12)),
+            ("diversity", _diversity(last, n, first)),
+            ("rarity", rarity),
+            ("rare_share", mean_of(surprise > 9)),
+            ("rarity_spread", np.sqrt(mean_of((surprise - np.repeat(rarity, n)) ** 2))),
+            ("connectives", mean_of(joins)),
+            ("hapax", mean_of(only)),
+        ):
+            column[name][some] = values
+    return out
+
+
 def features(text: str, known: Words) -> list[float]:
-    """FEATURES of a text with at least one word. The rarity of a word is the highest of its cells' surprises."""
-    words = _plain(text)
-    n = max(len(words), 1)
-    numbers, facts = known.of(words) if words else (np.zeros(1, np.int64), np.zeros((3, 1)))
-    lengths, surprise, joins = facts
-    sentences = np.array([k for part in _SENTENCE.split(text) if (k := len(_WORD.findall(part)))] or [0], float)
-    hapax = (np.unique(numbers, return_counts=True)[1] == 1).sum()
-    # whole texts: windows of 60 words, the last one ends at the last word
-    plain = numbers.tolist()
-    windows = [plain[i : i + 60] for i in (*range(0, n - 60, 60), max(n - 60, 0))]
-    return [
-        math.log1p(n),
-        lengths.mean(),
-        (lengths >= 9).mean(),
-        (lengths >= 12).mean(),
-        sum([len(set(w)) for w in windows]) / len(windows) / min(n, 60),
-        surprise.mean(),
-        (surprise > 9).mean(),
-        surprise.std(),
-        joins.mean(),
-        len(_CLAUSE.findall(text)) / n,
-        math.log1p(sentences.mean()),
-        math.log1p(sentences.std()),
-        sum(map(len, _DIGITS.findall(text))) / n,
-        hapax / n,
-    ]
+    """FEATURES of one text."""
+    return feature_rows([text], known)[0].tolist()
 
 
 @dataclass
@@ -191,15 +317,14 @@ def _feature_rows(documents: DataFrame, key: str, text: str, surprise, finish, d
         known = Words(surprise.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            x = np.array([features(t, known) for t in texts]).reshape(len(texts), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(carry))), finish(x)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(carry))), finish(feature_rows(texts, known))], schema=schema)
 
     return documents.select(F.col(key).cast("bigint").alias("id"), text, *carry).mapInArrow(run, ddl)
 
 
 def graded(documents: DataFrame, text: str = "text") -> DataFrame:
     """Documents with enough letters to have a level."""
-    return documents.filter(F.length(F.regexp_replace(text, r"\P{L}+", "")) >= MIN_LETTERS)
+    return documents.filter(F.col(text).rlike(rf"^(?:\P{{L}}*+\p{{L}}){{{MIN_LETTERS}}}"))
 
 
 def reading_bands(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = MAX_GRADED) -> DataFrame:
@@ -218,7 +343,8 @@ def reading_bands(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     grades = labels.filter(F.col("band").isin(*BANDS)).select(F.col(key), F.col("band").cast("bigint").alias("band")).orderBy(F.xxhash64(key), "band").limit(limit)
     width = len(FEATURES)
     as_list = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * width, width), pa.int32()), pa.array(x.ravel(), pa.float64()))
-    sample = _feature_rows(usable.select(key, text).join(grades, key), key, text, surprise, as_list, "id bigint, band bigint, x array<double>", ["band"]).toPandas()
+    # the grades are few, so they go to the texts
+    sample = _feature_rows(usable.select(key, text).join(F.broadcast(grades), key), key, text, surprise, as_list, "id bigint, band bigint, x array<double>", ["band"]).toPandas()
     if sample.empty:
         return documents.select(F.col(key), F.lit(0).cast("bigint").alias("band")).limit(0)
     sample = sample.sort_values(["id", "band"])
